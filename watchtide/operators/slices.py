@@ -56,3 +56,33 @@ def sliding(
     out = with_halo(df, t, halo, length)
     out = out.withColumns({n: a.over(over(keys, t, lo, hi)) for n, (a, lo, hi) in frames.items()})
     return drop_halo(out, t, halo, length)
+
+
+def numbered(
+    df: DataFrame,
+    keys: Sequence[str],
+    t: str,
+    order: str,
+    length: int,
+    rank: str = "rn",
+    total: str = "n",
+) -> DataFrame:
+    """Row number and row count per key without a window over a whole key.
+
+    Rows are counted per slice, the few counts are summed up in time order, and rows are
+    numbered inside their slice from there.
+    """
+    rows = df.withColumn(SLICE, slice_of(F.col(t), length))
+    counts = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(SLICE)
+    counts = counts.select(
+        *keys,
+        SLICE,
+        (F.sum("_c").over(before) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(Window.partitionBy(*keys)).alias(total),
+    )
+    inside = Window.partitionBy(*keys, SLICE).orderBy(t, order)
+    out = rows.join(counts, [*keys, SLICE])
+    return out.withColumn(rank, F.col("_before") + F.row_number().over(inside)).drop(
+        SLICE, "_before"
+    )
