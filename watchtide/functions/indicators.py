@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ TEXT_IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 TEXT_DOMAIN = (
     r"(?i)\b(?:[a-zA-Z0-9-]+\.)+(?:com|net|org|io|ru|cn|in|co|gov|edu|xyz|top|biz)\b"
 )
-HASHES = (r"\b[a-fA-F0-9]{32}\b", r"\b[a-fA-F0-9]{40}\b", r"\b[a-fA-F0-9]{64}\b")
+TEXT_HASH = r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b"
 ACTOR = (
     r"(?i)\b(APT\d{1,3}|Lazarus\s+Group|Cozy\s+Bear|Fancy\s+Bear|Sandworm|Carbanak|FIN\d|TA\d{3,4})\b"
 )
@@ -69,31 +71,46 @@ WEIGHTS = {
 TEXT_PRIVATE = r"^(?:10\.|192\.168\.|172\.16\.|172\.17\.|127\.)|^0\.0\.0\.0$"
 
 
-def _found(text: Column, pattern: str, kind: str, lower: bool = False) -> Column:
+def _found(
+    text: Column, pattern: str, kind: str, lower: bool = False, only_if: Column | None = None
+) -> Column:
+    """Every match as a claim; ``only_if`` is a cheap test no matching text can fail."""
     hits = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(0))
+    if only_if is not None:
+        hits = F.when(only_if, hits).otherwise(F.array().cast("array<string>"))
     return F.transform(
         hits,
         lambda v: F.struct(F.lit(kind).alias("type"), (F.lower(v) if lower else v).alias("value")),
     )
 
 
-def claims(text: Column) -> Column:
-    """Array of (type, value) for every claim in a text, repeats included."""
+def claims(text: Column, kinds: Iterable[str] = WEIGHTS) -> Column:
+    """Array of (type, value) for every claim of the given kinds, repeats included."""
+    low = F.lower(text)
+
+    def word(w: str) -> Column:
+        return F.contains(low, F.lit(w))
+
     public = F.filter(
         _found(text, TEXT_IPV4, "ioc_ip"), lambda c: ~c["value"].rlike(TEXT_PRIVATE)
     )
-    return F.concat(
-        _found(text, CVE, "cve_id"),
-        _found(text, TECHNIQUE, "mitre_technique"),
-        public,
-        _found(text, TEXT_DOMAIN, "ioc_domain", lower=True),
-        *[_found(text, p, "ioc_hash", lower=True) for p in HASHES],
-        _found(text, ACTOR, "threat_actor"),
-        _found(text, CONFIDENCE, "confidence_claim"),
-        _found(text, SEVERITY, "severity_claim"),
-    )
+    found = {
+        "cve_id": _found(text, CVE, "cve_id", only_if=word("cve-")),
+        "mitre_technique": _found(text, TECHNIQUE, "mitre_technique"),
+        "ioc_ip": public,
+        "ioc_domain": _found(text, TEXT_DOMAIN, "ioc_domain", lower=True),
+        "ioc_hash": _found(text, TEXT_HASH, "ioc_hash", lower=True),
+        "threat_actor": _found(text, ACTOR, "threat_actor"),
+        "confidence_claim": _found(
+            text, CONFIDENCE, "confidence_claim", only_if=word("confidence")
+        ),
+        "severity_claim": _found(text, SEVERITY, "severity_claim", only_if=word("severity")),
+    }
+    return F.concat(*[found[k] for k in WEIGHTS if k in set(kinds)])
 
 
-def extract_claims(df: DataFrame, text: str, *keep: str) -> DataFrame:
+def extract_claims(
+    df: DataFrame, text: str, *keep: str, kinds: Iterable[str] = WEIGHTS
+) -> DataFrame:
     """One row per claim; texts without claims give no row."""
-    return df.select(*keep, F.inline(claims(F.col(text))))
+    return df.select(*keep, F.inline(claims(F.col(text), kinds)))

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_WORD_CLASS = r"(?:\\d|\[0-9a-fA-F\]|\[a-fA-F0-9\]|\[A-Za-z0-9\])"
+_STARTS = re.compile(rf"(?:\((?:\?:)?)*(?:[A-Za-z0-9]|{_WORD_CLASS})")
+_ENDS = re.compile(rf"(?:(?<!\\)[A-Za-z0-9]|\\d|{_WORD_CLASS}(?:[+]|\{{[0-9,]+\}}))\)*$")
 
 
 def ascii_words(pattern: str) -> str:
-    r"""The pattern with ``\b`` meaning ASCII words, whatever the Java version takes it for."""
-    return pattern.replace(r"\b", _EDGE)
+    r"""The pattern with ``\b`` meaning ASCII words, whatever the Java version takes it for.
+
+    Where the neighbour is certain to be a word character one look-around is enough,
+    which halves the time of a scan.
+    """
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    parts = pattern[len(flags) :].split(r"\b")
+    out = flags + parts[0]
+    for before, after in zip(parts, parts[1:]):
+        if _STARTS.match(after):
+            edge = f"(?<!{_WORD})"
+        elif before and "%" not in before and _ENDS.search(before):
+            edge = f"(?!{_WORD})"
+        else:
+            edge = _EDGE
+        out += edge + after
+    return out
 
 
 def has(text: Column, *patterns: str, ignore_case: bool = True) -> Column:

@@ -47,19 +47,14 @@ KV_FIELDS = {
 CEF_TIME = ("end", "rt", "deviceReceiptTime")
 CEF_SOURCE = ("src", "sourceAddress", "dhost")
 # Line patterns.
-CEF_LINE = r"(?i)^CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(\d+)\|(.*)$"
-RFC5424_LINE = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)"
-RFC3164_LINE = r"^<(\d{1,4})>\s*([A-Za-z]{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s*([^ ]+) \s*([^:]+):\s*(.*)$"
+CEF_LINE = r"(?i)^CEF:\d+\|(?:[^|]*\|){5}\d+\|"
+RFC5424_LINE = r"^<\d+>\d+\s+(?:\S+\s+){5}"
+RFC3164_LINE = r"^<\d{1,4}>"
+RFC3164_TIME = r"^[A-Za-z]{3}\s+\d+\s+\d{2}:\d{2}:\d{2}$"
 PAIR_BREAK = r"\s(?=[A-Za-z0-9_]+=)"
 RAW_MESSAGE = 500
 JSON_MESSAGE = 200
 
-EVENT = (
-    "struct<ts:timestamp,source:string,severity:string,category:string,event_type:string,"
-    "message:string,raw_data:map<string,string>,parser:string>"
-)
-
-
 def _from_scale(level: Column, scale: Sequence[str]) -> Column:
     names = F.array(*[F.lit(s) for s in scale])
     return F.coalesce(F.get(names, level.cast("int")), F.lit("info"))
@@ -81,7 +76,11 @@ def severity_of_word(word: Column) -> Column:
 
 
 def infer_category(event_type: Column, message: Column) -> Column:
-    text = F.lower(F.concat(event_type, F.lit(" "), message))
+    return category_of(F.concat(event_type, F.lit(" "), message))
+
+
+def category_of(text: Column) -> Column:
+    text = F.lower(text)
     out = F
     for name, pattern in CATEGORIES:
         out = out.when(text.rlike(pattern), name)
@@ -102,33 +101,28 @@ def _first(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def _time(text: Column, now: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(text), now)
+def _field(fields: Column, names: Sequence[str]) -> Column:
+    return _first(*[fields[n] for n in names])
 
 
-def _event(ts, source, severity, category, event_type, message, raw, parser: str) -> Column:
-    return F.struct(
-        ts.alias("ts"),
-        source.alias("source"),
-        severity.alias("severity"),
-        category.alias("category"),
-        event_type.alias("event_type"),
-        message.alias("message"),
-        raw.alias("raw_data"),
-        F.lit(parser).alias("parser"),
-    ).cast(EVENT)
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``; the text holds one."""
+    return F.substr(text, F.position(F.lit(mark), text) + len(mark))
 
 
 def _pairs(text: Column, unquote: bool) -> Column:
     """Array of (k, v) of the key=value tokens, repeats included."""
 
     def pair(token: Column) -> Column:
-        value = strip(F.regexp_extract(token, r"(?s)^[^=]*=(.*)$", 1))
+        value = strip(_after(token, "="))
         if unquote:
-            value = F.regexp_replace(value, r'(?s)^"(.*)"$', "$1")
-        return F.struct(strip(F.regexp_extract(token, r"^([^=]*)=", 1)).alias("k"), value.alias("v"))
+            quoted = F.startswith(value, F.lit('"')) & F.endswith(value, F.lit('"'))
+            inner = F.substr(value, F.lit(2), F.length(value) - 2)
+            value = F.when(quoted & (F.length(value) >= 2), inner).otherwise(value)
+        return F.struct(strip(F.substring_index(token, "=", 1)).alias("k"), value.alias("v"))
 
-    return F.filter(F.transform(F.split(text, PAIR_BREAK), pair), lambda p: p["k"] != "")
+    tokens = F.filter(F.split(text, PAIR_BREAK), lambda t: F.position(F.lit("="), t) > 1)
+    return F.filter(F.transform(tokens, pair), lambda p: p["k"] != "")
 
 
 def _as_map(pairs: Column) -> Column:
@@ -140,187 +134,162 @@ def _as_map(pairs: Column) -> Column:
             k.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("v")
         ),
     )
-    return F.map_from_entries(last)
-
-
-def _overlay(head: Column, pairs: Column, fields: Column) -> Column:
-    """The head entries no pair replaces, then the pairs."""
-    own = F.filter(head, lambda h: ~F.exists(pairs, lambda p: p["k"] == h["k"]))
-    return F.map_concat(F.map_from_entries(own), fields)
-
-
-def _field(fields: Column, names: Sequence[str]) -> Column:
-    return _first(*[fields[n] for n in names])
+    return F.map_from_entries(F.when(F.size(keys) == F.size(pairs), pairs).otherwise(last))
 
 
 def json_objects(line: Column) -> Column:
     """The JSON objects of a line: itself, the elements of an array, or of its Records."""
     t = strip(line)
-    doc = F.try_parse_json(t)
     records = F.get_json_object(t, "$.Records")
     strings = "array<string>"
     found = (
         F.when(F.startswith(t, F.lit("[")), F.from_json(t, strings))
-        .when(F.startswith(strip(records), F.lit("[")), F.from_json(records, strings))
+        .when(F.startswith(records, F.lit("[")), F.from_json(records, strings))
         .otherwise(F.array(t))
     )
-    return F.when(doc.isNotNull(), found)
-
-
-def json_event(obj: Column, fields: Column, typed: Column, now: Column) -> Column:
-    """Event of one JSON object text; numbers and texts differ for severity and time."""
-
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(typed, f"$['{name}']", "variant"))
-
-    def number(name: str) -> Column:
-        return F.when(kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE)"), fields[name].try_cast("double"))
-
-    def truthy(name: str) -> Column:
-        zero = (number(name) == 0) | ((kind(name) == "BOOLEAN") & (fields[name] == "false"))
-        return F.when(~F.coalesce(zero, F.lit(False)), F.nullif(fields[name], F.lit("")))
-
-    def pick(names: Sequence[str], make) -> Column:
-        out = F
-        for name in names:
-            out = out.when(truthy(name).isNotNull(), make(name))
-        return out
-
-    event_type = F.coalesce(*[truthy(n) for n in JSON_FIELDS["event_type"]], F.lit("generic_event"))
-    message = F.coalesce(
-        *[truthy(n) for n in JSON_FIELDS["message"]], F.substring(obj, 1, JSON_MESSAGE)
+    return F.when(F.try_parse_json(t).isNotNull(), found)
+
+
+def _syslog_parts(t: Column) -> Column:
+    """pri, time, host, tag and message of either syslog form, then its name; or null."""
+    pri = F.substring_index(_after(t, "<"), ">", 1)
+    words = F.split(t, r"\s+", 7)
+    new = F.array(pri, words[1], words[2], words[3], words[6], F.lit("syslog-rfc5424"))
+    rest = strip(_after(t, ">"))
+    after_time = strip(F.substr(rest, F.lit(16)))
+    host = F.substring_index(after_time, " ", 1)
+    after_host = strip(_after(after_time, " "))
+    tag = F.substring_index(after_host, ":", 1)
+    old = F.array(
+        pri, F.substring(rest, 1, 15), host, tag, strip(_after(after_host, ":")), F.lit("syslog-rfc3164")
     )
-    severity = pick(
-        JSON_FIELDS["severity"],
-        lambda n: F.when(number(n).isNotNull(), severity_of_number(number(n))).otherwise(
-            severity_of_word(fields[n])
-        ),
-    ).otherwise("info")
-    when = pick(
-        JSON_FIELDS["time"],
-        lambda n: F.when(
-            number(n).isNotNull(), F.timestamp_millis(number(n).cast("long"))
-        ).otherwise(F.try_to_timestamp(fields[n])),
-    ).otherwise(now)
-    return _event(
-        F.coalesce(when, now),
-        F.coalesce(*[truthy(n) for n in JSON_FIELDS["source"]], F.lit("unknown")),
-        severity,
-        infer_category(event_type, message),
-        event_type,
-        message,
-        fields,
-        "json",
+    is_old = (
+        t.rlike(RFC3164_LINE)
+        & (F.length(rest) >= 16)
+        & F.substring(rest, 1, 15).rlike(RFC3164_TIME)
+        & (F.position(F.lit(" "), after_time) > 1)
+        & (F.position(F.lit(":"), after_host) > 1)
     )
+    return F.when(t.rlike(RFC5424_LINE), new).when(is_old, old)
 
 
-def cef_event(line: Column, pairs: Column, fields: Column, now: Column) -> Column:
-    """Event of a CEF line; ``pairs`` and ``fields`` are those of its extension."""
-    t = strip(line)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, CEF_LINE, i)
-
-    vendor, product, sig, name = part(2), part(3), part(5), part(6)
-    head = F.array(
-        *[
-            F.struct(F.lit(k).alias("k"), v.alias("v"))
-            for k, v in (("vendor", vendor), ("product", product), ("sigId", sig), ("name", name))
-        ]
-    )
-    event = _event(
-        _time(_field(fields, CEF_TIME), now),
-        F.coalesce(_field(fields, CEF_SOURCE), vendor),
-        _from_scale(part(7).try_cast("int"), CEF_SEVERITY),
-        infer_category(name, F.concat(vendor, F.lit(" "), product)),
-        F.concat(sig, F.lit(": "), name),
-        F.concat(F.lit("["), vendor, F.lit("/"), product, F.lit("] "), name),
-        _overlay(head, pairs, fields),
-        "cef",
-    )
-    return F.when(t.rlike(CEF_LINE), event)
-
+def _json_event(now: Column) -> dict[str, Column]:
+    """Event columns of ``_object``; numbers and texts differ for severity and time."""
+    def is_text(name: str) -> str:
+        return f"""schema_of_variant(try_variant_get(_typed, "$['{name}']", 'variant')) = 'STRING'"""
 
-def _text_map(**values: Column) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+    def truthy(name: str) -> str:
+        return (
+            f"if(_fields['{name}'] in ('0', '0.0', 'false') and not {is_text(name)}, null, "
+            f"nullif(_fields['{name}'], ''))"
+        )
 
-
-def rfc5424_event(line: Column, now: Column) -> Column:
-    t = strip(line)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, RFC5424_LINE, i)
-
-    pri = part(1).try_cast("long")
-    host, app, msg = part(4), part(5), part(8)
-    event = _event(
-        _time(part(3), now),
-        host,
-        _from_scale(F.pmod(pri, F.lit(8)), SYSLOG_SEVERITY),
-        infer_category(app, msg),
-        app,
-        msg,
-        _text_map(hostname=host, appName=app, pri=pri, msg=msg),
-        "syslog-rfc5424",
-    )
-    return F.when(t.rlike(RFC5424_LINE), event)
-
-
-def rfc3164_event(line: Column, now: Column, year: Column) -> Column:
-    t = strip(line)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, RFC3164_LINE, i)
-
-    pri = part(1).try_cast("long")
-    stamp, host, tag, msg = part(2), part(3), part(4), part(5)
-    dated = F.concat_ws(" ", year.cast("string"), F.regexp_replace(stamp, r"\s+", " "))
-    event = _event(
-        F.coalesce(F.try_to_timestamp(dated, F.lit("yyyy MMM d HH:mm:ss")), now),
-        host,
-        _from_scale(F.pmod(pri, F.lit(8)), SYSLOG_SEVERITY),
-        infer_category(tag, msg),
-        strip(tag),
-        msg,
-        _text_map(hostname=host, tag=tag, pri=pri, msg=msg),
-        "syslog-rfc3164",
-    )
-    return F.when(t.rlike(RFC3164_LINE) & (F.length(stamp) == 15), event)
-
-
-def syslog_event(line: Column, now: Column, year: Column) -> Column:
-    return F.coalesce(rfc5424_event(line, now), rfc3164_event(line, now, year))
+    def number(name: str) -> Column:
+        return F.expr(
+            f"if(_fields['{name}'] rlike '^-?[0-9.]+([eE][-+]?[0-9]+)?$' and not {is_text(name)}, "
+            f"try_cast(_fields['{name}'] as double), null)"
+        )
+
+    def first(names: Sequence[str], default: Column) -> Column:
+        return F.coalesce(F.expr(f"coalesce({', '.join(truthy(n) for n in names)})"), default)
+
+    def by_kind(names: Sequence[str], of_number, of_text, default: Column) -> Column:
+        chosen = " ".join(f"when {truthy(n)} is not null then '{n}'" for n in names)
+        value, out = F.expr(f"case {chosen} end"), F
+        for n in names:
+            text, num = F.expr(f"_fields['{n}']"), number(n)
+            out = out.when(value == n, F.coalesce(of_number(num), of_text(text)))
+        return out.otherwise(default)
+
+    event_type = first(JSON_FIELDS["event_type"], F.lit("generic_event"))
+    message = first(JSON_FIELDS["message"], F.substring("_object", 1, JSON_MESSAGE))
+    return {
+        "ts": by_kind(
+            JSON_FIELDS["time"],
+            lambda n: F.timestamp_millis(n.cast("long")),
+            F.try_to_timestamp,
+            now,
+        ),
+        "source": first(JSON_FIELDS["source"], F.lit("unknown")),
+        "severity": by_kind(
+            JSON_FIELDS["severity"],
+            lambda n: F.when(n.isNotNull(), severity_of_number(n)),
+            severity_of_word,
+            F.lit("info"),
+        ),
+        "event_type": event_type,
+        "message": message,
+        "raw_data": F.col("_fields"),
+        "parser": F.lit("json"),
+    }
+
+
+def _cef_event(now: Column) -> dict[str, Column]:
+    """Event columns of a CEF line from its eight parts and its extension."""
+    vendor, product, sig, name, level = (F.col("_parts")[i] for i in (1, 2, 4, 5, 6))
+    head = {"vendor": vendor, "product": product, "sigId": sig, "name": name}
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in head.items()])
+    own = F.filter(entries, lambda h: ~F.map_contains_key("_map", h["k"]))
+    return {
+        "ts": F.try_to_timestamp(_field(F.col("_map"), CEF_TIME)),
+        "source": F.coalesce(_field(F.col("_map"), CEF_SOURCE), vendor),
+        "severity": _from_scale(level.try_cast("int"), CEF_SEVERITY),
+        "event_type": F.concat(sig, F.lit(": "), name),
+        "message": F.concat(F.lit("["), vendor, F.lit("/"), product, F.lit("] "), name),
+        "category_text": F.concat_ws(" ", name, vendor, product),
+        "raw_data": F.map_concat(F.map_from_entries(own), "_map"),
+        "parser": F.lit("cef"),
+    }
+
+
+def _syslog_event(now: Column, year: Column) -> dict[str, Column]:
+    pri, time, host, tag, message, parser = (F.col("_parts")[i] for i in range(6))
+    number = pri.try_cast("long")
+    dated = F.concat_ws(" ", year.cast("string"), F.regexp_replace(time, r"\s+", " "))
+    is_new = parser == "syslog-rfc5424"
+    key = F.when(is_new, "appName").otherwise("tag")
+    raw = [("hostname", host), ("pri", number.cast("string")), ("msg", message)]
+    return {
+        "ts": F.when(is_new, F.try_to_timestamp(time)).otherwise(
+            F.try_to_timestamp(dated, F.lit("yyyy MMM d HH:mm:ss"))
+        ),
+        "source": host,
+        "severity": _from_scale(F.pmod(number, F.lit(8)), SYSLOG_SEVERITY),
+        "event_type": strip(tag),
+        "message": message,
+        "raw_data": F.create_map(*[x for k, v in raw for x in (F.lit(k), v)], key, tag),
+        "parser": parser,
+    }
+
+
+def _kv_event(now: Column, line: Column) -> dict[str, Column]:
+    fields = F.col("_map")
+    return {
+        "ts": F.try_to_timestamp(_field(fields, KV_FIELDS["time"])),
+        "source": F.coalesce(_field(fields, KV_FIELDS["source"]), F.lit("unknown")),
+        "severity": severity_of_word(
+            F.coalesce(_field(fields, KV_FIELDS["severity"]), F.lit("info"))
+        ),
+        "event_type": F.coalesce(_field(fields, KV_FIELDS["event_type"]), F.lit("kv_event")),
+        "message": F.coalesce(_field(fields, KV_FIELDS["message"]), line),
+        "raw_data": fields,
+        "parser": F.lit("key-value"),
+    }
 
 
-def kv_event(line: Column, fields: Column, now: Column) -> Column:
-    t = strip(line)
-    event_type = F.coalesce(_field(fields, KV_FIELDS["event_type"]), F.lit("kv_event"))
-    message = F.coalesce(_field(fields, KV_FIELDS["message"]), t)
-    event = _event(
-        _time(_field(fields, KV_FIELDS["time"]), now),
-        F.coalesce(_field(fields, KV_FIELDS["source"]), F.lit("unknown")),
-        severity_of_word(F.coalesce(_field(fields, KV_FIELDS["severity"]), F.lit("info"))),
-        infer_category(event_type, message),
-        event_type,
-        message,
-        fields,
-        "key-value",
-    )
-    return F.when(F.size(fields) > 0, event)
+def _raw_event(now: Column, line: Column) -> dict[str, Column]:
+    return {
+        "ts": now,
+        "source": F.lit("unknown"),
+        "severity": F.lit("info"),
+        "event_type": F.lit("raw_log"),
+        "message": F.substring(line, 1, RAW_MESSAGE),
+        "raw_data": F.create_map(F.lit("raw"), line),
+        "parser": F.lit("raw"),
+    }
 
 
-def raw_event(line: Column, now: Column) -> Column:
-    t = strip(line)
-    return _event(
-        now,
-        F.lit("unknown"),
-        F.lit("info"),
-        F.lit("unknown"),
-        F.lit("raw_log"),
-        F.substring(t, 1, RAW_MESSAGE),
-        F.create_map(F.lit("raw"), t),
-        "raw",
-    )
+COLUMNS = ("ts", "source", "severity", "category", "event_type", "message", "raw_data", "parser")
 
 
 def _events(
@@ -328,36 +297,73 @@ def _events(
 ) -> DataFrame:
     """Parse every line as its kind; ``loose`` reads refused JSON as pairs, ``last`` as raw.
 
-    Parsed pieces are columns of their own, so no expression parses a line twice.
+    The pieces of a line become columns step by step, so no expression parses a line twice
+    and each line runs only the parser of its kind.
     """
-    line = F.col(column)
-    rows = df.filter(strip(line) != "").withColumn("_kind", kind)
+    line = F.col("_line")
+    rows = df.withColumn("_line", strip(F.col(column))).filter(line != "")
+    rows = rows.withColumn("_kind", kind)
     rows = rows.withColumn("_objects", F.when(F.col("_kind") == "json", json_objects(line)))
     some = F.filter("_objects", lambda o: F.startswith(strip(o), F.lit("{")))
-    rows = rows.withColumn("_object", F.explode_outer(some))
-    is_json = F.col("_object").isNotNull()
-    is_kv = ~is_json & ((F.col("_kind") == "kv") | ((F.col("_kind") == "json") & F.lit(loose)))
-    ext = F.regexp_extract(strip(line), CEF_LINE, 8)
+    rows = rows.withColumn("_object", F.explode_outer(some)).drop("_objects")
+    rows = rows.withColumn(
+        "_form",
+        F.when(F.col("_object").isNotNull(), "json")
+        .when(F.col("_kind") == "json", "kv" if loose else "raw")
+        .otherwise(F.col("_kind")),
+    )
+    form = F.col("_form")
+    rows = rows.withColumns(
+        {
+            "_fields": F.when(form == "json", F.from_json("_object", "map<string,string>")),
+            "_typed": F.when(form == "json", F.try_parse_json("_object")),
+            "_parts": F.when(
+                (form == "cef") & line.rlike(CEF_LINE), F.split(line, r"\|", 8)
+            ).when(form == "syslog", _syslog_parts(line)),
+        }
+    )
+    rows = rows.withColumn(
+        "_pairs",
+        F.when((form == "cef") & F.col("_parts").isNotNull(), _pairs(F.col("_parts")[7], False)).when(
+            form == "kv", _pairs(line, True)
+        ),
+    ).withColumn("_map", F.when(F.col("_pairs").isNotNull(), _as_map(F.col("_pairs"))))
+    raw = F.lit("raw" if last else None).cast("string")
+    rows = rows.withColumn(
+        "_form",
+        F.when(form.isin("cef", "syslog"), F.when(F.col("_parts").isNotNull(), form))
+        .when(form == "kv", F.when(F.size("_pairs") > 0, "kv").otherwise(raw))
+        .when(form == "raw", raw)
+        .otherwise(form),
+    ).filter(form.isNotNull())
+    events = {
+        "json": _json_event(now),
+        "cef": _cef_event(now),
+        "syslog": _syslog_event(now, year),
+        "kv": _kv_event(now, line),
+        "raw": _raw_event(now, line),
+    }
+
+    def pick(name: str) -> Column:
+        out = F
+        for f, cols in events.items():
+            if name in cols:
+                out = out.when(form == f, cols[name])
+        return out
+
+    parts = {
+        f"_e_{n}": pick(n)
+        for n in ("ts", "source", "severity", "event_type", "message", "raw_data", "parser")
+    }
+    rows = rows.withColumns({**parts, "_e_text": pick("category_text")})
+    text = F.coalesce("_e_text", F.concat_ws(" ", "_e_event_type", "_e_message"))
     rows = rows.withColumns(
         {
-            "_fields": F.when(is_json, F.from_json("_object", "map<string,string>")),
-            "_typed": F.when(is_json, F.try_parse_json("_object")),
-            "_pairs": F.when(F.col("_kind") == "cef", _pairs(ext, unquote=False)).when(
-                is_kv, _pairs(strip(line), unquote=True)
-            ),
+            "_e_ts": F.coalesce("_e_ts", now),
+            "_e_category": F.when(form == "raw", "unknown").otherwise(category_of(text)),
         }
-    ).withColumn("_map", _as_map(F.col("_pairs")))
-    rest = F.when(is_kv, kv_event(line, F.col("_map"), now))
-    if last:
-        rest = F.coalesce(rest, raw_event(line, now))
-    event = (
-        F.when(is_json, json_event(F.col("_object"), F.col("_fields"), F.col("_typed"), now))
-        .when(F.col("_kind") == "cef", cef_event(line, F.col("_pairs"), F.col("_map"), now))
-        .when(F.col("_kind") == "syslog", syslog_event(line, now, year))
-        .otherwise(rest)
     )
-    out = rows.withColumn("_event", event).filter("_event is not null")
-    return out.select(*df.columns, "_event.*")
+    return rows.select(*df.columns, *[F.col(f"_e_{c}").alias(c) for c in COLUMNS])
 
 
 def parse_json_logs(df: DataFrame, now: Column, column: str = "line") -> DataFrame:
@@ -389,7 +395,8 @@ def normalize_logs(
     A CEF or syslog line its pattern refuses is dropped; a JSON line that is not JSON is
     read as key=value pairs, and a line without pairs becomes a raw event.
     """
-    kind = {"auto": detect_format(F.col(column)), "ndjson": F.lit("json")}.get(format, F.lit(format))
+    kinds = {"auto": detect_format(F.col(column)), "ndjson": F.lit("json")}
+    kind = kinds.get(format, F.lit(format))
     return _events(df, column, kind, now, year, loose=format == "auto", last=True)
 
 

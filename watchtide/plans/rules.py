@@ -8,6 +8,7 @@ from watchtide.functions import indicators
 from watchtide.operators import correlate, detect, enrich, folds, iforest, joins, rules, series
 from watchtide.plans.detection import B, BINS, MIX, W, r
 from watchtide.plans.registry import CASES, SIG, Tables, query
+from watchtide.session import stored
 
 # Rule windows are stretched: the test stream has a few events per hour.
 SCALE = 36
@@ -209,7 +210,7 @@ def _(t):
 
 
 def _forest_scores(t: Tables):
-    features = _features(t)
+    features = stored(_features(t), "features")
     return iforest.score(features, iforest.train(features, ["bin", "org"]))
 
 
@@ -296,8 +297,8 @@ iocs AS (SELECT type, value, min(doc_id) AS doc_id FROM ind WHERE doc_id % 2 = 0
 
 def _indicators(t: Tables):
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    claims = indicators.extract_claims(t.documents, "text", "doc_id")
-    return claims.filter(F.col("type").isin(*KINDS)).select(
+    claims = indicators.extract_claims(t.documents, "text", "doc_id", kinds=KINDS)
+    return claims.select(
         "doc_id", kinds[F.col("type")].alias("type"), "value"
     )
 
