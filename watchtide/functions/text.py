@@ -44,3 +44,9 @@ def has(text: Column, *patterns: str, ignore_case: bool = True) -> Column:
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\r\n\f\v"))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with a fixed count of decimals, rounded from its exact value."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))

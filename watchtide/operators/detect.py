@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchtide.functions.text import fixed
 from watchtide.operators import series as bins
 from watchtide.operators import slices
 
@@ -244,15 +245,15 @@ def detection_title(alert_id: Column, method: Column, level: Column) -> Column:
 
 
 def detection_summary(count: Column, z: Column, iforest: Column, ewma: Column, hybrid: Column, method: Column) -> Column:
-    def zero(c: Column) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(0.0))
+    def shown(c: Column, digits: int) -> Column:
+        return fixed(F.coalesce(c.cast("double"), F.lit(0.0)), digits)
 
     return F.format_string(
-        "%s detection triggered at %d events/sec. Z-Score=%.2f, iForest=%.3f, EWMA=%.2f, Hybrid=%.3f.",
+        "%s detection triggered at %d events/sec. Z-Score=%s, iForest=%s, EWMA=%s, Hybrid=%s.",
         method,
         count,
-        zero(z),
-        zero(iforest),
-        zero(ewma),
-        zero(hybrid),
+        shown(z, 2),
+        shown(iforest, 3),
+        shown(ewma, 2),
+        shown(hybrid, 3),
     )

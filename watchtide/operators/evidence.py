@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import indicators
 from watchtide.functions.scoring import half_up
-from watchtide.functions.text import has
+from watchtide.functions.text import ascii_words, fixed, has
 
 # Confidence needed, points of each kind of evidence, decay and tiers.
 MIN_CONFIDENCE = 0.3
@@ -101,7 +101,8 @@ def evidence_completeness(df: DataFrame) -> DataFrame:
             F.when(
                 F.col("confidence") < MIN_CONFIDENCE,
                 F.format_string(
-                    f"confidence_below_threshold (%.2f < {MIN_CONFIDENCE})", "confidence"
+                    f"confidence_below_threshold (%s < {MIN_CONFIDENCE})",
+                    fixed(F.col("confidence"), 2),
                 ),
             ),
             F.when(~present("matched_rules"), "matched_rules (at least 1 required)"),
@@ -267,8 +268,6 @@ def _clamp(value: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    from watchtide.functions.text import ascii_words
-
     return F.regexp_count(text, F.lit(ascii_words(pattern)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions.masking import mask_labels
 from watchtide.functions.scoring import TIER_HIGH, TIER_MODERATE, confidence_tier
-from watchtide.functions.text import has
+from watchtide.functions.text import fixed, has
 
 # Actions that need approval, in the order they are looked for.
 HIGH_IMPACT_ACTIONS = (
@@ -199,14 +199,14 @@ def governance_decision(
     )
     explanation = F.concat_ws(
         "\n",
-        F.format_string("Confidence: %.2f (%s)", c, F.col("confidence_level")),
+        F.format_string("Confidence: %s (%s)", fixed(c, 2), F.col("confidence_level")),
         F.format_string("Sources retrieved: %d", n),
         F.concat(F.lit("Evidence sufficient: "), F.col("evidence_sufficient").cast("string")),
         F.concat(
             F.lit("Hallucination check: "),
             F.when(F.col("hallucination_detected"), "FLAGGED").otherwise("PASS"),
         ),
-        F.format_string("Truth Score: %.0f%%", F.col(truth_score) * 100),
+        F.format_string("Truth Score: %s%%", fixed(F.col(truth_score) * 100, 0)),
     )
     return out.withColumns(
         {
@@ -231,9 +231,9 @@ def tier_answer(answer: Column, confidence: Column, sources: Column) -> Column:
     tier = confidence_tier(confidence)
     enough = (sources > 0) & (confidence >= EVIDENCE_THRESHOLD)
     caution = F.format_string(
-        "\n\n> **Caution**: This response has moderate confidence (%.0f%%). "
+        "\n\n> **Caution**: This response has moderate confidence (%s%%). "
         "Please verify with additional sources.\n",
-        confidence * 100,
+        fixed(confidence * 100, 0),
     )
     return (
         F.when(~enough | (tier == "low"), F.lit(GUARD_ANSWER))
@@ -429,7 +429,7 @@ def policy_registry_eval(
     blocked = F.exists("violated", lambda v: v["action"].isin(*BLOCKING))
     worst = F.coalesce(
         *[
-            F.when(F.exists("violated", lambda v, s=s: v["severity"] == s), F.lit(s))
+            F.when(F.array_contains(F.transform("violated", lambda v: v["severity"]), s), F.lit(s))
             for s in SEVERITY_ORDER
         ]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchtide.functions.hashing import chunk_id
-from watchtide.functions.text import has
+from watchtide.functions.text import fixed, has
 
 # Chunk size, overlap and separators, hits and relevance.
 CHUNK_SIZE = 1000
@@ -214,7 +214,9 @@ def build_context(
     blocks = F.transform(
         "hits",
         lambda h, i: F.concat(
-            F.format_string("[Source %d: %s (relevance: %.2f)]\n", i + 1, h["label"], -h["o"]),
+            F.format_string(
+                "[Source %d: %s (relevance: %s)]\n", i + 1, h["label"], fixed(-h["o"], 2)
+            ),
             h["text"],
         ),
     )
