@@ -65,10 +65,9 @@ PARSED = f"""{LINES}, ev AS (
   FROM (SELECT *, lower(coalesce(ct0, event_type || ' ' || message)) AS ct FROM ev))"""
 
 
-def _lines(t: Tables):
+def lines_of(events):
     """The lines in Spark: the same expression over the same derived columns."""
-    e = t.events
-    base = e.select(
+    base = events.select(
         "event_id", F.col("event_type").alias("t"), F.col("user_id").alias("u"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"),
         F.date_format("ts", "MMM dd HH:mm:ss").alias("bsd"),
@@ -77,6 +76,10 @@ def _lines(t: Tables):
     return base.select("event_id", F.expr(_LINE).alias("line"))
 
 
+def _lines(t: Tables):
+    return lines_of(t.events)
+
+
 def _now():
     return F.timestamp_seconds(F.lit(NOW_SEC))
 
