@@ -153,10 +153,9 @@ def read_documents(
 ) -> DataFrame:
     """Text files below a folder, one row per file, blank files dropped."""
     raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-        .text(path)
+        .text(path, wholetext=True)
     )
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     rows = raw.select(
