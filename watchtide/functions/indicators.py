@@ -92,14 +92,19 @@ def claims(text: Column, kinds: Iterable[str] = WEIGHTS) -> Column:
         return F.contains(low, F.lit(w))
 
     public = F.filter(
-        _found(text, TEXT_IPV4, "ioc_ip"), lambda c: ~c["value"].rlike(TEXT_PRIVATE)
+        _found(text, TEXT_IPV4, "ioc_ip", only_if=text.rlike(r"\d\.\d")),
+        lambda c: ~c["value"].rlike(TEXT_PRIVATE),
     )
     found = {
         "cve_id": _found(text, CVE, "cve_id", only_if=word("cve-")),
         "mitre_technique": _found(text, TECHNIQUE, "mitre_technique"),
         "ioc_ip": public,
-        "ioc_domain": _found(text, TEXT_DOMAIN, "ioc_domain", lower=True),
-        "ioc_hash": _found(text, TEXT_HASH, "ioc_hash", lower=True),
+        "ioc_domain": _found(
+            text, TEXT_DOMAIN, "ioc_domain", lower=True, only_if=text.rlike(r"\.[A-Za-z]")
+        ),
+        "ioc_hash": _found(
+            text, TEXT_HASH, "ioc_hash", lower=True, only_if=text.rlike("[a-fA-F0-9]{32}")
+        ),
         "threat_actor": _found(text, ACTOR, "threat_actor"),
         "confidence_claim": _found(
             text, CONFIDENCE, "confidence_claim", only_if=word("confidence")

@@ -22,10 +22,30 @@ IPV6_HEAD = r"\b((?:[0-9a-fA-F]{1,4}:){2}[0-9a-fA-F]{1,4})"
 IPV6_GROUP = r"(?::[0-9a-fA-F]{1,4})"
 
 
+def _cheap_tests(text: Column) -> dict[str, Column]:
+    """Tests that any text with a match passes; most texts fail them and are left alone."""
+
+    def holds(*parts: str) -> Column:
+        out = F.lit(False)
+        for p in parts:
+            out = out | F.contains(text, F.lit(p))
+        return out
+
+    return {
+        "[SSN]": text.rlike(r"\d-\d{2}-\d"),
+        "[EMAIL]": holds("@"),
+        "[IP]": text.rlike(r"\d\.\d"),
+        "[SECRET]": holds(":", "="),
+    }
+
+
 def mask_labels(text: Column) -> Column:
+    # Labels bring none of the tested signs, so the tests hold for every step.
+    tests, out = _cheap_tests(text), text
     for pattern, label in LABELS:
-        text = F.regexp_replace(text, ascii_words(pattern), label)
-    return text
+        masked = F.regexp_replace(out, ascii_words(pattern), label)
+        out = F.when(tests[label], masked).otherwise(out) if label in tests else masked
+    return out
 
 
 def was_masked(text: Column, masked: Column) -> Column:
@@ -36,24 +56,33 @@ def mask_partial(text: Column) -> Column:
     """``a***b@d***.ext`` (``a***@`` for one or two letters) and ``x.y.*.*``."""
     short = r"(?<![a-zA-Z0-9_\-.])([a-zA-Z0-9_\-.])[a-zA-Z0-9_\-.]?@([a-zA-Z0-9_\-.])[a-zA-Z0-9_\-.]*\.([a-zA-Z]{2,5})"
     long = r"([a-zA-Z0-9_\-.])[a-zA-Z0-9_\-.]+([a-zA-Z0-9_\-.])@([a-zA-Z0-9_\-.])[a-zA-Z0-9_\-.]*\.([a-zA-Z]{2,5})"
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), short, "$1***@$2***.$3")
+    text = F.coalesce(text, F.lit(""))
+    tests = _cheap_tests(text)
+    out = F.regexp_replace(text, short, "$1***@$2***.$3")
     out = F.regexp_replace(out, long, "$1***$2@$3***.$4")
-    return F.regexp_replace(out, ascii_words(IPV4), "$1.$2.*.*")
+    out = F.when(tests["[EMAIL]"], out).otherwise(text)
+    return F.when(tests["[IP]"], F.regexp_replace(out, ascii_words(IPV4), "$1.$2.*.*")).otherwise(out)
 
 
 def mask_alert(text: Column) -> Column:
     """``j***@dom.ext``, ``x.y.xxx.xxx`` and the first three groups of an IPv6 address."""
+    text = F.coalesce(text, F.lit(""))
+    tests = _cheap_tests(text)
     out = F.regexp_replace(
-        F.coalesce(text, F.lit("")),
+        text,
         r"([a-zA-Z0-9_\-.])[a-zA-Z0-9_\-.]*@([a-zA-Z0-9_\-.]+)\.([a-zA-Z]{2,5})",
         "$1***@$2.$3",
     )
-    out = F.regexp_replace(out, ascii_words(IPV4), "$1.$2.xxx.xxx")
+    out = F.when(tests["[EMAIL]"], out).otherwise(text)
+    out = F.when(
+        tests["[IP]"], F.regexp_replace(out, ascii_words(IPV4), "$1.$2.xxx.xxx")
+    ).otherwise(out)
+    same = out
     # One pass per length, longest first: a replacement cannot repeat a mask per group.
     for hidden in range(5, 0, -1):
         address = ascii_words(IPV6_HEAD + f"{IPV6_GROUP}{{{hidden}}}" + r"\b")
         out = F.regexp_replace(out, address, "$1" + ":xxxx" * hidden)
-    return out
+    return F.when(text.rlike(r"[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), out).otherwise(same)
 
 
 def mask_username(name: Column, alert: bool = False) -> Column:

@@ -234,16 +234,18 @@ def mitre_map(
     def ids(values) -> Column:
         return F.array(*[F.lit(v) for v in values])
 
-    techniques = [F.when(hit(p), ids(t)).otherwise(empty) for p, t, _, _ in words]
-    tactics = [F.when(hit(p), ids(t)).otherwise(empty) for p, _, t, _ in words]
-    notes = F.concat_ws("; ", *[F.when(hit(p), F.lit(d)) for p, _, _, d in words])
-    return df.withColumns(
+    hits = [F.col("_hits")[i] for i in range(len(words))]
+    techniques = [F.when(h, ids(t)).otherwise(empty) for h, (_, t, _, _) in zip(hits, words)]
+    tactics = [F.when(h, ids(t)).otherwise(empty) for h, (_, _, t, _) in zip(hits, words)]
+    notes = F.concat_ws("; ", *[F.when(h, F.lit(d)) for h, (_, _, _, d) in zip(hits, words)])
+    out = df.withColumn("_hits", F.array(*[hit(p) for p, _, _, _ in words]))
+    return out.withColumns(
         {
             "techniques": F.array_distinct(F.concat(*techniques)),
             "tactics": F.array_distinct(F.concat(*tactics)),
             "mapping_description": F.coalesce(F.nullif(notes, F.lit("")), F.lit(NO_MAPPING)),
         }
-    )
+    ).drop("_hits")
 
 
 def techniques_table(spark: SparkSession) -> DataFrame:

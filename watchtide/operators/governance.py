@@ -563,6 +563,14 @@ RUNBOOKS = (
 RUNBOOKS_SHOWN = 3
 
 
+def _known_parts(runbooks) -> list[str]:
+    """Every word of four letters or more that titles or descriptions can contain."""
+    tokens = {t for rb in runbooks for text in rb[1:3] for t in text.lower().split()}
+    return sorted(
+        {t[i:j] for t in tokens for i in range(len(t)) for j in range(i + 4, len(t) + 1)}
+    )
+
+
 def suggest_runbooks(
     df: DataFrame, severity: str, context: str, technique: str | None = None, runbooks=RUNBOOKS
 ) -> DataFrame:
@@ -570,8 +578,10 @@ def suggest_runbooks(
 
     Runbooks are few literals, so all are scored inside the row and no join is needed.
     """
+    # A word that is no part of any runbook text scores nothing: one look-up drops it.
+    parts = _known_parts(runbooks)
     rows = df.withColumn("_context", F.lower(context)).withColumn(
-        "_words", F.filter(F.split("_context", r"\s+"), lambda w: F.length(w) > 3)
+        "_words", F.filter(F.split("_context", r"\s+"), lambda w: w.isin(*parts))
     )
 
     def hits(text: str) -> Column:

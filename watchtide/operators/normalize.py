@@ -138,16 +138,20 @@ def _as_map(pairs: Column) -> Column:
 
 
 def json_objects(line: Column) -> Column:
-    """The JSON objects of a line: itself, the elements of an array, or of its Records."""
-    t = strip(line)
-    records = F.get_json_object(t, "$.Records")
+    """Texts of a line's JSON objects: itself, or the elements of an array or of its Records.
+
+    A line that is one object, the usual case, is not parsed here: whether it is JSON shows
+    when its fields are read.
+    """
     strings = "array<string>"
-    found = (
-        F.when(F.startswith(t, F.lit("[")), F.from_json(t, strings))
-        .when(F.startswith(records, F.lit("[")), F.from_json(records, strings))
-        .otherwise(F.array(t))
+    records = F.get_json_object(line, "$.Records")
+    is_list = F.startswith(line, F.lit("["))
+    many = F.when(is_list, F.from_json(line, strings)).when(
+        F.startswith(records, F.lit("[")), F.from_json(records, strings)
     )
-    return F.when(F.try_parse_json(t).isNotNull(), found)
+    nested = is_list | F.contains(line, F.lit('"Records"'))
+    valid = F.try_parse_json(line).isNotNull()
+    return F.when(nested, F.when(valid, F.coalesce(many, F.array(line)))).otherwise(F.array(line))
 
 
 def _syslog_parts(t: Column) -> Column:
@@ -306,9 +310,10 @@ def _events(
     rows = rows.withColumn("_objects", F.when(F.col("_kind") == "json", json_objects(line)))
     some = F.filter("_objects", lambda o: F.startswith(strip(o), F.lit("{")))
     rows = rows.withColumn("_object", F.explode_outer(some)).drop("_objects")
+    rows = rows.withColumn("_typed", F.try_parse_json("_object"))
     rows = rows.withColumn(
         "_form",
-        F.when(F.col("_object").isNotNull(), "json")
+        F.when(F.col("_typed").isNotNull(), "json")
         .when(F.col("_kind") == "json", "kv" if loose else "raw")
         .otherwise(F.col("_kind")),
     )
@@ -316,7 +321,6 @@ def _events(
     rows = rows.withColumns(
         {
             "_fields": F.when(form == "json", F.from_json("_object", "map<string,string>")),
-            "_typed": F.when(form == "json", F.try_parse_json("_object")),
             "_parts": F.when(
                 (form == "cef") & line.rlike(CEF_LINE), F.split(line, r"\|", 8)
             ).when(form == "syslog", _syslog_parts(line)),

@@ -8,6 +8,7 @@ from watchtide.functions import hashing, indicators, masking
 from watchtide.operators import evidence, governance
 from watchtide.plans.registry import SIG, Tables, query
 from watchtide.plans.rules import ANOM, _anomalies
+from watchtide.sources.adapters import spread
 
 # Phrases added to answers, prompts and documents so that every rule meets some text.
 ANSWERS = (
@@ -85,7 +86,8 @@ def _qa(t: Tables):
 
 
 def _docs(t: Tables):
-    return t.documents.select(
+    docs = spread(t.documents.select("doc_id", "source", "text"))
+    return docs.select(
         "doc_id", "source", F.concat("text", _pick(DOC_NOTES, F.col("doc_id") % 5)).alias("text")
     )
 
@@ -348,7 +350,8 @@ KNOWN = f"""known AS (SELECT DISTINCT type, value FROM {_claims_sql('documents',
 
 def _known(t: Tables):
     kinds = ("ioc_ip", "ioc_domain", "ioc_hash")
-    found = indicators.extract_claims(t.documents, "text", kinds=kinds).select("type", "value")
+    texts = spread(t.documents.select("text"))
+    found = indicators.extract_claims(texts, "text", kinds=kinds).select("type", "value")
     fixed = t.spark.createDataFrame(
         [("cve_id", "CVE-2024-12345"), ("mitre_technique", "T1110"), ("threat_actor", "apt29")],
         "type string, value string",

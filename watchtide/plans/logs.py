@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchtide.operators import normalize
 from watchtide.plans.registry import Tables, query
+from watchtide.sources.adapters import spread
 
 YEAR = 2024
 NOW_SEC = 42
@@ -77,7 +78,7 @@ def lines_of(events):
 
 
 def _lines(t: Tables):
-    return lines_of(t.events)
+    return spread(lines_of(t.events))
 
 
 def _now():
@@ -170,7 +171,7 @@ def _(t):
     f"SELECT doc_id, {CATEGORY} AS category FROM (SELECT doc_id, lower(source || ' ' || text) AS ct FROM documents)",
 )
 def _(t):
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "source", "text")).select(
         "doc_id", normalize.infer_category(F.col("source"), F.col("text")).alias("category")
     )
 

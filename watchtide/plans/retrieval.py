@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchtide.operators import retrieval
 from watchtide.plans.governance import DOCS, _docs, rx
 from watchtide.plans.registry import Tables, query
+from watchtide.sources.adapters import spread
 
 # The query vector is the first point's.
 Q_SQL = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -27,7 +28,7 @@ def _hits(df, *cols):
 
 @query("chunk_text")
 def _(t):
-    return retrieval.chunk_text(t.documents.select("doc_id", "text"))
+    return retrieval.chunk_text(spread(t.documents.select("doc_id", "text")))
 
 
 @query(

@@ -9,6 +9,7 @@ from watchtide.operators import correlate, detect, enrich, folds, iforest, joins
 from watchtide.plans.detection import B, BINS, MIX, W, r
 from watchtide.plans.registry import CASES, SIG, Tables, query
 from watchtide.session import stored
+from watchtide.sources.adapters import spread
 
 # Rule windows are stretched: the test stream has a few events per hour.
 SCALE = 36
@@ -297,7 +298,8 @@ iocs AS (SELECT type, value, min(doc_id) AS doc_id FROM ind WHERE doc_id % 2 = 0
 
 def _indicators(t: Tables):
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    claims = indicators.extract_claims(t.documents, "text", "doc_id", kinds=KINDS)
+    texts = spread(t.documents.select("doc_id", "text"))
+    claims = indicators.extract_claims(texts, "text", "doc_id", kinds=KINDS)
     return claims.select(
         "doc_id", kinds[F.col("type")].alias("type"), "value"
     )
@@ -442,7 +444,7 @@ MITRE_SQL = """mt AS (SELECT doc_id,
     FROM mt""",
 )
 def _(t):
-    out = enrich.mitre_map(t.documents.select("doc_id", "text"), "text", words=WORDS)
+    out = enrich.mitre_map(spread(t.documents.select("doc_id", "text")), "text", words=WORDS)
     return out.select(
         "doc_id", F.array_join("techniques", "|").alias("techniques"),
         F.array_join("tactics", "|").alias("tactics"), "mapping_description",

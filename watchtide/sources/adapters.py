@@ -169,3 +169,12 @@ def read_documents(
 
 def drop_blank(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).rlike(r"\S"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work all cores when the input comes in fewer splits than cores.
+
+    An input with enough splits, as any large one has, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
