@@ -143,9 +143,12 @@ def anchors(
 
     The first time is an anchor; the next is the first time more than ``gap`` after the
     last. Greedy cooldowns and windows that open at their first event both work this way.
+
+    A slice of ``length`` sends the times in its first ``gap`` to the chaining step, so with
+    the default a task sees about a hundredth of a key either way.
     """
     keys = list(keys)
-    n = length or 24 * gap
+    n = length or 96 * gap
     if n < gap:
         raise ValueError("a slice must be at least as long as the gap")
     rows = times.select(

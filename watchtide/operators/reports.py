@@ -76,15 +76,15 @@ def threat_statistics(anomalies: DataFrame, mitigated: str = "Mitigated") -> Dat
 
 
 # Categories always shown and the value missing entries count as.
-SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
-METHODS = ("HYBRID", "ZSCORE+EWMA", "ZSCORE")
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+METHODS = ("ZSCORE", "ZSCORE+EWMA", "HYBRID")
 
 
 def fixed_distribution(
     df: DataFrame, column: str, values: Sequence[str], missing: str
 ) -> DataFrame:
     """Count of each listed value, 0 where there is none, from one pass."""
-    value = F.coalesce(column, F.lit(missing))
+    value = F.coalesce(F.nullif(column, F.lit("")), F.lit(missing))
     counts = df.agg(*[F.count_if(value == v).alias(f"_{i}") for i, v in enumerate(values)])
     rows = F.array(
         *[F.struct(F.lit(v).alias(column), F.col(f"_{i}").alias("n")) for i, v in enumerate(values)]
@@ -171,7 +171,7 @@ def sla_by_severity(cases: DataFrame, now: Column) -> DataFrame:
 
 
 def nearest_rank(
-    df: DataFrame, value: str, p: float, keys: Sequence[str], accuracy: int = 10_000
+    df: DataFrame, value: str, p: float, keys: Sequence[str], accuracy: int = 100_000
 ) -> DataFrame:
     """The exact value at rank ceil(p n) of every key, and n.
 
