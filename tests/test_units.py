@@ -629,3 +629,47 @@ def test_mapping_of_anomaly_texts(spark):
     assert got == [(["T1110"], ["TA0006"]), (["T1486", "T1059"], ["TA0040", "TA0002"]), ([], [])]
     names = [r["id"] for r in enrich.techniques_by_tactic(enrich.techniques_table(spark), F.lit("Credential Access")).collect()]
     assert names == ["T1110"]
+
+
+# ---------------------------------------------------------------- sliding sums at event level
+
+
+@pytest.mark.parametrize("length", [10_000_000, 25_000_000, None])
+def test_sliding_sums_equal_brute_force(spark, length):
+    rnd = random.Random(13)
+    rows = [(i, rnd.randint(0, 1), rnd.randint(0, 90) * 1_000_000, rnd.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, org bigint, us bigint, v bigint")
+    out = slices.sliding_sums(df, ["org"], "us", 10_000_000, {"n": F.lit(1), "total": F.col("v")}, length)
+    got = {r["id"]: (r["n"], r["total"]) for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, org, us, _ in rows:
+        inside = [v for _, o, u, v in rows if o == org and us - 10_000_000 <= u <= us]
+        assert got[i] == (len(inside), sum(inside))
+
+
+def test_correlation_equals_brute_force(spark):
+    rnd = random.Random(17)
+    kinds = ("login_failed", "login_success", "data_export", "admin_add", "page_view")
+    rows = [
+        (i, rnd.randint(0, 1), rnd.choice(kinds), f"s{rnd.randint(0, 2)}", f"u{rnd.randint(0, 2)}", rnd.randint(0, 9000) * 1_000_000)
+        for i in range(400)
+    ]
+    want = set()
+    for rule in correlate.RULES:
+        span = rule.span(1)
+        col = 3 if rule.entity == "source" else 4
+        for key in {(r[1], r[col]) for r in rows}:
+            mine = sorted((r[5], r[0], r[2]) for r in rows if (r[1], r[col]) == key)
+            was, last = False, None
+            for us, i, _ in mine:
+                inside = [k for u, _, k in mine if us - span <= u <= us]
+                hit = all(sum(k in s.pattern.split("|") for k in inside) >= s.at_least for s in rule.stages)
+                if hit and not (was and us - last <= span):
+                    first = min(u for u, _, _ in mine if us - span <= u <= us)
+                    want.add((rule.id, *key, i, len(inside), first, us))
+                was, last = hit, us
+    got = {
+        (r["rule_id"], r["org"], r["entity_id"], r["trigger_id"], r["window_events"], r["first_seen"], r["last_seen"])
+        for r in correlate.correlate(spark.createDataFrame(rows, SIGNAL)).collect()
+    }
+    assert want and got == want

@@ -88,17 +88,44 @@ def _incidents_of(
     keys = [org, "entity_id"]
     halo = 2 * max(r.span(scale) for r in rules)
     rows = _entity_rows(signals, entity).select(*keys, us, order, "event_type")
-    rows = slices.with_halo(rows, us, halo)
-    found = {}
+    copied = slices.with_halo(rows, us, halo)
+    # A signal enters all windows at its time and leaves each rule's just after its span;
+    # running counts over these marks cost the same however many signals a window holds.
+    flags = {}
     for i, rule in enumerate(rules):
-        frame = slices.over(keys, us, -rule.span(scale), 0)
         for j, stage in enumerate(rule.stages):
-            found[f"_s{i}_{j}"] = F.count_if(stage.matches()).over(frame)
-        any_stage = reduce(lambda a, b: a | b, [s.matches() for s in rule.stages])
-        found[f"_m{i}"] = F.count_if(any_stage).over(frame)
-        found[f"_n{i}"] = F.count(F.lit(1)).over(frame)
-        found[f"_f{i}"] = F.min(us).over(frame)
-    rows = rows.withColumns(found)
+            flags[f"_s{i}_{j}"] = (i, stage.matches())
+        flags[f"_m{i}"] = (i, reduce(lambda a, b: a | b, [s.matches() for s in rule.stages]))
+        flags[f"_n{i}"] = (i, F.lit(True))
+    tests = copied.select(
+        *keys,
+        slices.SLICE,
+        us,
+        order,
+        *[c.cast("long").alias(f"f{n}") for n, (_, c) in flags.items()],
+    )
+    ends = [
+        F.struct((F.col(us) + F.lit(r.span(scale) + 1)).alias("_at"), F.lit(i).alias("_leaves"))
+        for i, r in enumerate(rules)
+    ]
+    start = F.struct(F.col(us).alias("_at"), F.lit(-1).alias("_leaves"))
+    marks = tests.select("*", F.inline(F.array(start, *ends)))
+    part = [*keys, slices.SLICE]
+    upto = Window.partitionBy(*part).orderBy("_at")
+    later = Window.partitionBy(*part).orderBy(F.col("_at").desc()).rangeBetween(
+        Window.unboundedPreceding, -1
+    )
+    found = {}
+    for n, (i, _) in flags.items():
+        sign = F.when(F.col("_leaves") == -1, 1).when(F.col("_leaves") == i, -1).otherwise(0)
+        found[n] = F.sum(F.col(f"f{n}") * sign).over(upto)
+    for i, rule in enumerate(rules):
+        # The next signal to leave is the first one still inside.
+        leave = F.when(F.col("_leaves") == i, F.col("_at"))
+        found[f"_f{i}"] = F.min(leave).over(later) - F.lit(rule.span(scale) + 1)
+    rows = marks.withColumns(found).filter("_leaves = -1").drop(
+        "_at", "_leaves", *[f"f{n}" for n in flags]
+    )
     hits = {
         f"_h{i}": reduce(
             lambda a, b: a & b,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions.scoring import CLOSED, half_up, sla_breached, sla_deadline
 from watchtide.operators import slices
+from watchtide.session import stored
 
 MICROS = 1_000_000
 
@@ -170,6 +171,9 @@ def sla_by_severity(cases: DataFrame, now: Column) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+SALTS = 16
+
+
 def nearest_rank(
     df: DataFrame, value: str, p: float, keys: Sequence[str], accuracy: int = 100_000
 ) -> DataFrame:
@@ -177,9 +181,11 @@ def nearest_rank(
 
     A sketch with a proven rank error brackets the value; what lies below the bracket is
     only counted and what lies inside is counted by value, so no key is sorted as a whole.
+    The brackets, one row per key, are stored first: their size is then known and Spark
+    broadcasts them when they are small. Salt keeps a hot key spread when they are not.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
     lo, hi = max(p - 2 / accuracy, 0.0), min(p + 2 / accuracy, 1.0)
     bounds = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -189,13 +195,14 @@ def nearest_rank(
     )
     low = F.col("_b")[0] if lo > 0 else F.col("_min")
     high = F.col("_b")[1] if hi < 1 else F.col("_max")
-    bounds = bounds.select(*keys, "n", low.alias("_lo"), high.alias("_hi"))
-    side = F.when(F.col(value) >= F.col("_lo"), F.col(value))
+    bounds = stored(bounds.select(*keys, "n", low.alias("_lo"), high.alias("_hi")), "brackets")
+    salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = known.withColumn("_salt", F.spark_partition_id() % SALTS)
+    inside = F.when(F.col(value) >= F.col("_lo"), F.col(value))
     counted = (
-        known.select(*keys, value)
-        .join(bounds, keys)
+        rows.join(salted, [*keys, "_salt"])
         .filter(F.col(value) <= F.col("_hi"))
-        .groupBy(*keys, side.alias("_v"))
+        .groupBy(*keys, inside.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("n"))
     )
     upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())

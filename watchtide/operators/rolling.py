@@ -23,34 +23,35 @@ def entity(name: str) -> Column:
 
 def rolling(
     df: DataFrame,
-    aggregates: dict[str, Column],
+    values: dict[str, Column],
     seconds: int,
     keys: Sequence[str] = ("org",),
     us: str = "us",
 ) -> DataFrame:
-    """Add aggregates over the rows of the same key with ``t - seconds <= time <= t``."""
-    span = seconds * MICROS
-    return slices.sliding(df, keys, us, {n: (a, -span, 0) for n, a in aggregates.items()})
+    """Add sums of row values over the rows of the same key with ``t - seconds <= time <= t``."""
+    return slices.sliding_sums(df, keys, us, seconds * MICROS, values)
 
 
 def rolling_rate(
     df: DataFrame, seconds: int, keys: Sequence[str] = ("org",), us: str = "us", name: str = "rate"
 ) -> DataFrame:
-    out = rolling(df, {name: F.count(F.lit(1))}, seconds, keys, us)
+    out = rolling(df, {name: F.lit(1).cast("long")}, seconds, keys, us)
     return out.withColumn(name, F.col(name) / seconds)
 
 
 def failed_auth(types: Sequence[str] = FAILED_AUTH) -> Column:
-    return F.sum(F.col("event_type").isin(*types).cast("long"))
+    """1 for a failed authentication."""
+    return F.coalesce(F.col("event_type").isin(*types), F.lit(False)).cast("long")
 
 
 def bytes_moved(column: str = "bytes") -> Column:
-    return F.sum(F.coalesce(F.col(column), F.lit(0)))
+    return F.coalesce(F.col(column), F.lit(0)).cast("long")
 
 
 def anomaly_density(severity: str = "severity", flag: str = "is_anomaly") -> Column:
+    """1 for a severe or flagged event."""
     hit = F.col(severity).isin(*DENSE_SEVERITIES) | F.col(flag)
-    return F.sum(F.when(hit, 1).otherwise(0))
+    return F.coalesce(hit, F.lit(False)).cast("long")
 
 
 def unique_in_window(

@@ -58,6 +58,40 @@ def sliding(
     return drop_halo(out, t, halo, length)
 
 
+def sliding_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    t: str,
+    span: int,
+    values: dict[str, Column],
+    length: int | None = None,
+) -> DataFrame:
+    """Add the sum of each value over the rows of the key in [t - span, t], peers included.
+
+    A RANGE frame that slides is summed anew for every row, which a busy key turns into
+    rows times frame. Here a row enters the sums at its time and leaves them just after
+    ``span``; one running sum over these two marks gives every window.
+    """
+    n = slice_length(span, length)
+    copied = with_halo(df, t, span, n)
+    marks = copied.select(
+        *keys,
+        SLICE,
+        F.struct(*df.columns).alias("_r"),
+        *[v.alias(f"_v_{k}") for k, v in values.items()],
+        F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign"),
+    )
+    enters = F.col("_sign") == 1
+    time = F.col(f"_r.{t}")
+    marks = marks.withColumn("_at", F.when(enters, time).otherwise(time + F.lit(span + 1)))
+    marks = marks.withColumn("_r", F.when(enters, F.col("_r")))
+    run = Window.partitionBy(*keys, SLICE).orderBy("_at")
+    sums = {k: F.sum(F.col(f"_v_{k}") * F.col("_sign")).over(run) for k in values}
+    out = marks.withColumns({f"_s_{k}": c for k, c in sums.items()}).filter("_r is not null")
+    out = out.select(SLICE, "_r.*", *[F.col(f"_s_{k}").alias(k) for k in values])
+    return drop_halo(out, t, span, n)
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
