@@ -8,7 +8,6 @@ import statistics
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from watchtide.functions import hashing, indicators, masking, scoring
 from watchtide.operators import (
@@ -17,7 +16,6 @@ from watchtide.operators import (
     enrich,
     evidence,
     folds,
-    governance,
     iforest,
     joins,
     normalize,

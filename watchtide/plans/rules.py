@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import indicators
 from watchtide.operators import correlate, detect, enrich, folds, iforest, joins, rules, series
-from watchtide.plans.detection import B, BINS, MIX, W, r
+from watchtide.plans.detection import B, BINS, MIX, W
 from watchtide.plans.registry import CASES, SIG, Tables, query
 from watchtide.session import stored
 from watchtide.sources.adapters import spread
