@@ -1 +1,8 @@
-"""Security-event analytics as plain DataFrame -> DataFrame functions on Spark."""
+"""Security-event analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

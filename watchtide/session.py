@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -18,18 +19,23 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    A cluster names that folder on storage every executor reaches. Only where it is
-    unset and Spark runs in local mode is a folder of this machine used.
+    A cluster names that folder on storage every executor reaches. Only where it is unset
+    and Spark runs in one process, as in tests, is a folder of this machine used; the
+    session is left as it is.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="watchtide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{str(base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="watchtide-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result used more than once to the shared folder and read it back.
 
