@@ -89,7 +89,7 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 win AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS k FROM (
@@ -101,7 +101,7 @@ c AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, len(l) AS n_lines,
-    len(list_filter(w, x -> list_contains(STOP, lower(x)))) AS n_stop
+    len(list_filter(w, lambda x: list_contains(STOP, lower(x)))) AS n_stop
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT *, NOT base_failed AND n_words >= 20
