@@ -2,7 +2,7 @@
 
 A byte goes when a 50-byte string that covers it also starts in a text with a smaller id.
 
-1. Of every 50-byte string the 16 bytes with the smallest hash are its anchor; equal strings
+1. Of every 50-byte string the 20 bytes with the smallest hash are its anchor; equal strings
    have equal anchors at equal places. Anchors that only one text has cannot lie in a
    repeated string and are left out: packed hashes meet in partitions and only the places
    of shared ones go back to their texts.
@@ -13,7 +13,7 @@ A byte goes when a 50-byte string that covers it also starts in a text with a sm
    of 50 equal bytes are neighbours at every d and their smallest id is known.
 3. The starts of repeated strings go back to their texts, which are cut once.
 
-The induction follows a fixed number of steps (an anchor is at most 34 bytes into its
+The induction follows a fixed number of steps (an anchor is at most 30 bytes into its
 string), where full recursive induction would order all suffixes of all texts, most of which
 repeat nowhere. Equal texts are handled first: all but the smallest id lose every byte.
 
@@ -25,20 +25,20 @@ not read; matches never cross texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.llm.common import stored
+from watchtide.llm.common import shared_dir, stored
 from watchtide.llm.shingles import mixed, runs
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Parts of the hash space, at least; a power of two, and no fewer than shuffle partitions.
 PARTS = 256
@@ -57,7 +57,9 @@ def _word(data: np.ndarray, at: int, n: int) -> np.ndarray:
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash, first, last): every anchor and the starts of the strings it stands for."""
     n = len(data) - GRAM + 1
-    hashes = mixed(_word(data, 0, n) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(_word(data, 8, n)))
+    hashes = _word(data, 0, n)
+    for at in (8, GRAM - 8):
+        hashes = mixed(hashes * np.uint64(0x9E3779B97F4A7C15) ^ _word(data, at, n))
     value, place = hashes, np.arange(n)
     width = 1
     while 2 * width <= SPAN:
@@ -307,6 +309,21 @@ def _cut(docs: DataFrame) -> DataFrame:
     )
 
 
+def _laid_out(texts: DataFrame) -> DataFrame:
+    """The texts as a table bucketed by id in the shared folder."""
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"texts_{uuid.uuid4().hex}"
+    (
+        texts.write.format("parquet")
+        .option("compression", "zstd")
+        .option("path", shared_dir(spark, "suffix-texts"))
+        .bucketBy(n, "doc_id")
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets: from, to, from ...)."""
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -318,13 +335,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     keys = stored(rows.select("doc_id", "digest", "n_bytes"), "suffix-rows")
     firsts = stored(keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "suffix-firsts")
-    # Every text once, with its smallest id.
-    texts = stored(
-        rows.filter(F.col("n_bytes") >= LENGTH)
-        .join(firsts.filter("doc_id is not null"), ["digest", "doc_id"], "left_semi")
-        .dropDuplicates(["digest"])
-        .select("digest", "doc_id", "text"),
-        "suffix-texts",
+    # Without later copies, laid out by id once: the joins below move no text.
+    copies = keys.join(firsts.withColumnRenamed("doc_id", "least"), "digest").filter("doc_id > least").select("doc_id", "digest")
+    texts = _laid_out(
+        rows.filter((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull())
+        .hint("merge")
+        .join(copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")), "doc_id", "left")
+        .filter(F.coalesce(~F.array_contains("gone", F.col("digest")), F.lit(True)))
+        .select("doc_id", "digest", "text")
     )
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(PARTS, 1 << (shuffled - 1).bit_length())
@@ -333,6 +351,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marked = _marked(_suffixes(texts.join(places, "doc_id").select("doc_id", "text", "places")))
     hits = stored(marked, "suffix-marked").groupBy("doc_id").agg(F.collect_list(F.struct("place", "marks")).alias("hits"))
     cut = _cut(texts.join(hits, "doc_id").select("digest", "doc_id", "text", "hits"))
+    cut = cut.dropDuplicates(["digest", "doc_id"])
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     whole = F.lower(F.hex("digest"))
     copy = F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
