@@ -43,6 +43,7 @@ GROUPS = 128
 KEYS = 24
 SPLIT = 20000
 LEAF = 32
+BITMAPS = 256
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
@@ -62,9 +63,11 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
                         continue
                     digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     low = np.array([((shingles ^ s) * (s | np.uint64(1))).min() for s in salts])
-                    keys.append(mixed(low + salts).view(np.int64))
+                    low = mixed(low + salts)
+                    keys.append(low.view(np.int64))
                     point = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
-                    counts.append(point.astype(np.uint16 if point.max() < 65536 else np.uint64).tobytes())
+                    point = point.astype(np.uint16 if point.max() < 65536 else np.uint64)
+                    counts.append((low >> np.uint64(32)).astype(np.uint32).tobytes() + point.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
@@ -98,9 +101,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _vector(raw: bytes) -> np.ndarray:
+    raw = raw[4 * KEYS :]
     return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * GROUPS else np.uint64).astype(np.int32)
 
 
+def _names(raw: bytes) -> np.ndarray:
+    """32 bits of every bucket a point is in."""
+    return np.frombuffer(raw[: 4 * KEYS], dtype=np.uint32)
+
+
 class Tree:
     """Points packed into boxes of LEAF by size, boxes into boxes, up to one root level."""
 
@@ -160,25 +169,30 @@ def _blocks(a: np.ndarray, b: np.ndarray, size: int = 32768) -> Iterator[tuple[n
 def _search(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of different components that a bucket's tree cannot rule out.
 
-    ``buckets``: key, node, component, counts; a task gets whole keys, sorted by key.
+    ``buckets``: key, node, component, counts, turn (which of a point's keys, -1 if a second
+    one); a task gets whole keys, sorted by key.
     """
 
     def pairs_of(table: pa.Table) -> Iterator[tuple[list, list]]:
         keys = table["key"].to_numpy()
-        nodes, groups = table["node"].to_pylist(), table["component"].to_pylist()
-        vectors = np.stack([_vector(raw) for raw in table["counts"].to_pylist()])
+        nodes, groups = table["node"].to_numpy(), table["component"].to_numpy()
+        turns = table["turn"].to_numpy()
+        raws = table["counts"].to_pylist()
+        vectors, names = np.stack([_vector(raw) for raw in raws]), np.stack([_names(raw) for raw in raws])
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             if end - start < 2:
                 continue
             for i, j in Tree(vectors[start:end]).join(percent):
-                found = [
-                    (nodes[start + x], nodes[start + y])
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True)
-                    if groups[start + x] != groups[start + y]
-                ]
-                if found:
-                    yield [min(p) for p in found], [max(p) for p in found]
+                i, j = start + i, start + j
+                ok = groups[i] != groups[j]
+                i, j = i[ok], j[ok]
+                # A pair that meets in several buckets is told in the first one only.
+                first = (names[i] == names[j]).argmax(axis=1)
+                ok = (turns[i] < 0) | (first == turns[i])
+                i, j = i[ok], j[ok]
+                if len(i):
+                    yield np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -205,13 +219,28 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
             yield from flush(None)
 
     kind = buckets.schema["node"].dataType.simpleString()
-    return buckets.select("key", "node", "component", "counts").mapInArrow(run, f"a {kind}, b {kind}")
+    return buckets.select("key", "node", "component", "counts", "turn").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _maybe(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Without most rows that are not in ``nodes``, so that their texts are not shuffled.
+
+    A bit per hash of an id: BITMAPS bitmaps of 32,768 bits, 1 MB however large ``nodes`` is,
+    so it is broadcast. It lets every row of ``nodes`` through, and the semi-join decides.
+    """
+    spread = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BITMAPS * 32768))
+    bits = nodes.select(F.floor(spread() / 32768).cast("int").alias("_map"), F.pmod(spread(), F.lit(32768)).alias("_bit"))
+    maps = bits.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(pmod(_h, 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = docs.withColumn("_h", spread()).withColumn("_map", F.floor(F.col("_h") / 32768).cast("int"))
+    hit = F.expr("shiftright(_byte, cast(pmod(_h, 8) as int)) & 1") == 1
+    return rows.join(F.broadcast(maps), "_map").withColumn("_byte", byte).filter(hit).select("doc_id", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text"), width), "jaccard-sets")
+    sets = stored(_sets(_maybe(docs, nodes).join(nodes, "doc_id", "left_semi").select("doc_id", "text"), width), "jaccard-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b")
@@ -237,7 +266,7 @@ def near_duplicates(
         ),
         "jaccard-nodes",
     )
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+    rows = nodes.select("node", F.posexplode("keys").alias("turn", "key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = rows.join(hubs.select("key", "hub"), "key").filter("node <> hub").select("hub", "node").distinct()
     # The bound on single pairs, by group counts.
@@ -258,7 +287,11 @@ def near_duplicates(
     open_rows = rows.join(mixed_buckets, "key").join(nodes, "node")
     second_keys = F.transform("keys", lambda k: F.xxhash64("key", k))
     open_rows = open_rows.select(
-        "node", "component", "counts", F.explode(F.when(F.col("n") > SPLIT, second_keys).otherwise(F.array("key"))).alias("key")
+        "node",
+        "component",
+        "counts",
+        F.when(F.col("n") > SPLIT, -1).otherwise(F.col("turn")).alias("turn"),
+        F.explode(F.when(F.col("n") > SPLIT, second_keys).otherwise(F.array("key"))).alias("key"),
     )
     candidates = _search(open_rows.repartition("key").sortWithinPartitions("key"), percent).distinct()
     second = stored(_verified(stored(candidates, "jaccard-second"), docs, width, percent), "jaccard-links")
