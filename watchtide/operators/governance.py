@@ -369,10 +369,6 @@ POLICIES = (
     ),
 )
 # Policies that carry no check of the request itself.
-UNCHECKED_POLICIES = (
-    "POL-001 POL-002 POL-006 POL-007 POL-008 POL-009 POL-011 POL-012 POL-014 POL-015 "
-    "POL-016 POL-017 POL-018"
-).split()
 SEVERITY_ORDER = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 BLOCKING = ("BLOCK", "BLOCK_AND_AUDIT")
 

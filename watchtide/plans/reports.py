@@ -70,7 +70,7 @@ def _(t):
        ORDER BY event_id LIMIT 200)) AS mark FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 200""",
 )
 def _(t):
-    batch = adapters.incremental_read(t.events.select("event_id", "user_id"), "event_id", 500)
+    batch = adapters.incremental_read(t.events.select("event_id", "user_id"), "event_id", 500, limit=200)
     return batch.withColumn("mark", adapters.high_water_mark(batch, "event_id", 500).scalar())
 
 
@@ -166,7 +166,7 @@ def _(t):
 )
 def _(t):
     rows = t.cases().withColumn("detection_time", F.col("created_sec"))
-    out = sinks.export_rows(rows, "incidents")
+    out = sinks.export_rows(rows, "incidents", limit=500)
     return out.select(F.col("ID").cast("string").alias("ID"), "Severity", "Status", "Detection Time")
 
 
@@ -176,7 +176,7 @@ def _(t):
     FROM cases ORDER BY id DESC LIMIT 500""",
 )
 def _(t):
-    return sinks.json_rows(t.cases().select("id", "severity", "status"))
+    return sinks.json_rows(t.cases().select("id", "severity", "status"), limit=500)
 
 
 @query(
@@ -195,7 +195,7 @@ def _(t):
 )
 def _(t):
     long = t.sig().withColumns({"event_type": F.repeat("event_type", F.lit(20)), "source": F.repeat("source", F.lit(80))})
-    out = sinks.storable_events(long)
+    out = sinks.storable_events(long, {"event_type": 100, "source": 255})
     return out.select("id", "org", "event_type", "source", F.col("event_date").cast("string").alias("event_date"))
 
 

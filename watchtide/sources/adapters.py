@@ -23,7 +23,6 @@ DEFAULT_EVENT_TYPE = "external_event"
 DEFAULT_SOURCE = "connector"
 # Numbers below this are epoch seconds, others epoch milliseconds.
 MILLIS_FROM = 1e12
-POLL_LIMIT = 200
 
 
 def micros(ts: str | Column) -> Column:
@@ -69,9 +68,10 @@ def signals(df: DataFrame, mapping: Mapping[str, str], now: Column) -> DataFrame
     ).withColumn("ts", F.timestamp_micros((F.col("epoch") * 1_000_000).cast("long")))
 
 
-def incremental_read(df: DataFrame, id_col: str, mark: int, limit: int = POLL_LIMIT) -> DataFrame:
-    """The next poll: rows after the high-water mark in id order."""
-    return df.filter(F.col(id_col) > mark).orderBy(id_col).limit(limit)
+def incremental_read(df: DataFrame, id_col: str, mark: int, limit: int | None = None) -> DataFrame:
+    """The next poll: rows after the high-water mark in id order, all or the first ``limit``."""
+    rows = df.filter(F.col(id_col) > mark).orderBy(id_col)
+    return rows if limit is None else rows.limit(limit)
 
 
 def high_water_mark(batch: DataFrame, id_col: str, mark: int) -> DataFrame:

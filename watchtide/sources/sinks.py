@@ -52,10 +52,7 @@ EXPORT_COLUMNS = {
         "IP Address": "ip_address",
     },
 }
-EXPORT_LIMIT = 500
-# Stored lengths and days or seconds kept.
-MAX_EVENT_TYPE = 100
-MAX_SOURCE = 255
+# Days or seconds kept.
 RETENTION_SECONDS = {"events": 600, "anomalies": 180 * 86_400, "incidents": 365 * 86_400}
 
 
@@ -66,7 +63,13 @@ def iso_time(epoch: Column) -> Column:
     )
 
 
-def export_rows(df: DataFrame, dataset: str, limit: int = EXPORT_LIMIT) -> DataFrame:
+def _newest(df: DataFrame, id_col: str, limit: int | None) -> DataFrame:
+    """All rows, newest first, or the newest ``limit``."""
+    rows = df.orderBy(F.col(id_col).desc())
+    return rows if limit is None else rows.limit(limit)
+
+
+def export_rows(df: DataFrame, dataset: str, limit: int | None = None) -> DataFrame:
     """The newest rows by id in the export's columns; columns the data lacks are empty."""
     have = set(df.columns)
     cols = []
@@ -75,10 +78,10 @@ def export_rows(df: DataFrame, dataset: str, limit: int = EXPORT_LIMIT) -> DataF
         if name in ("timestamp", "detection_time") and name in have:
             value = iso_time(value)
         cols.append(value.alias(heading))
-    return df.orderBy(F.col("id").desc()).limit(limit).select(*cols)
+    return _newest(df, "id", limit).select(*cols)
 
 
-def export_csv(df: DataFrame, dataset: str, path: str, limit: int = EXPORT_LIMIT) -> None:
+def export_csv(df: DataFrame, dataset: str, path: str, limit: int | None = None) -> None:
     rows = export_rows(df, dataset, limit)
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option(
         "escape", '"'
@@ -98,34 +101,25 @@ def report_summary(events: DataFrame, anomalies: DataFrame, incidents: DataFrame
     )
 
 
-def json_rows(df: DataFrame, id_col: str = "id", limit: int = EXPORT_LIMIT) -> DataFrame:
+def json_rows(df: DataFrame, id_col: str = "id", limit: int | None = None) -> DataFrame:
     """The newest rows as one JSON text each."""
     cols = sorted(df.columns)
-    return (
-        df.orderBy(F.col(id_col).desc())
-        .limit(limit)
-        .select(F.col(id_col), F.to_json(F.struct(*cols)).alias("json"))
-    )
+    return _newest(df, id_col, limit).select(F.col(id_col), F.to_json(F.struct(*cols)).alias("json"))
 
 
-def export_json(df: DataFrame, path: str, limit: int = EXPORT_LIMIT) -> None:
-    df.orderBy(F.col("id").desc()).limit(limit).write.mode("overwrite").json(path)
+def export_json(df: DataFrame, path: str, limit: int | None = None) -> None:
+    _newest(df, "id", limit).write.mode("overwrite").json(path)
 
 
-def storable_events(df: DataFrame) -> DataFrame:
-    """Clip the text columns to their stored lengths and add the partition date."""
-    return df.withColumns(
-        {
-            "event_type": F.substring("event_type", 1, MAX_EVENT_TYPE),
-            "source": F.substring("source", 1, MAX_SOURCE),
-            "event_date": F.to_date("ts"),
-        }
-    )
+def storable_events(df: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """Add the partition date; ``most`` clips text columns to so many characters."""
+    clipped = {name: F.substring(name, 1, size) for name, size in (most or {}).items()}
+    return df.withColumns({**clipped, "event_date": F.to_date("ts")})
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append clipped events, one folder per organisation and day."""
-    storable_events(df).write.mode("append").partitionBy("org", "event_date").parquet(path)
+def append_events(df: DataFrame, path: str, most: dict[str, int] | None = None) -> None:
+    """Append events, one folder per organisation and day."""
+    storable_events(df, most).write.mode("append").partitionBy("org", "event_date").parquet(path)
 
 
 def upsert_points(

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from watchtide.operators import correlate as rules
 from watchtide.operators import normalize
-from watchtide.operators.folds import COOLDOWN_SECONDS, EWMA_ALPHA, FAILURE_THRESHOLD
+from watchtide.operators.folds import COOLDOWN_SECONDS, EWMA_ALPHA, EWMA_RANGE, FAILURE_THRESHOLD
 from watchtide.operators.folds import RATE_WINDOW_SECONDS
 from watchtide.operators.series import MIN_STD, WINDOW_BINS
 from watchtide.session import shared_dir
@@ -78,6 +78,7 @@ def detector_stream(
     bin. State is one window of counts and two moments per key.
     """
     keys = list(keys)
+    alpha = min(max(alpha, EWMA_RANGE[0]), EWMA_RANGE[1])
     r = 1.0 - alpha
     out = _merge(
         [counts.schema[k] for k in keys],
