@@ -24,7 +24,6 @@ several labels of one document count as toxic if one does; other columns are not
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchtide.llm.shingles import mixed
+
 SAMPLE = 3000
 SAMPLE_CHARS = 20000
 THRESHOLD = 0.3
@@ -50,15 +51,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _contexts(texts: list[bytes]) -> dict[bytes, int]:
-    """Different (word before, word after) pairs by lower-cased word."""
-    seen = set()
+    """Different (word before, word after) pairs by lower-cased word.
+
+    A met word is one number, its code before 40 bits for its neighbours, so that memory is
+    some bytes a word; two pairs of one word with equal bits would count as one.
+    """
+    codes: dict[bytes, int] = {b"": 0}
+    met = [np.zeros(0, dtype=np.uint64)]
     for text in texts:
-        found = [b"", *re.findall(rb"[^\s.,;:!?]+", text.lower()), b""]
-        seen.update(zip(found[1:-1], found[:-2], found[2:], strict=True))
-    counts: dict[bytes, int] = defaultdict(int)
-    for word, _, _ in seen:
-        counts[word] += 1
-    return counts
+        found = (codes.setdefault(w, len(codes)) for w in re.findall(rb"[^\s.,;:!?]+", text.lower()))
+        row = np.array([0, *found, 0], dtype=np.uint64)
+        met.append(row[1:-1] << np.uint64(40) | mixed(row[:-2] << np.uint64(32) | row[2:]) >> np.uint64(24))
+    seen = np.concatenate(met)
+    met.clear()
+    seen.sort()
+    words = (seen[np.concatenate([seen[:1] >= 0, seen[1:] != seen[:-1]])] >> np.uint64(40)).astype(np.int64)
+    counts = np.bincount(words, minlength=len(codes)).tolist()
+    return {word: counts[code] for word, code in codes.items() if counts[code]}
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -169,7 +178,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) ->
     )
     classes = []
     for value, most in ((1, sample), (0, 2 * sample)):
-        chosen = rows.filter(F.col("toxic") == value).orderBy("h", "text").limit(most).collect()
+        mine = rows.filter(F.col("toxic") == value)
+        # The last hash of the sample first, so that only its texts come to the driver.
+        last = mine.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        chosen = mine.filter(F.col("h") <= last).orderBy("h", "text").limit(most).collect() if last is not None else []
         classes.append([r.text.encode() for r in chosen])
     toxic, ordinary = classes
     if not toxic or not ordinary:
