@@ -4,7 +4,7 @@ A byte goes when a 50-byte string that covers it also starts in a text with a sm
 
 1. Of every 50-byte string the 20 bytes with the smallest hash are its anchor; equal strings
    have equal anchors at equal places. Anchors that only one text has cannot lie in a
-   repeated string and are left out: packed hashes meet in partitions and only the places
+   repeated string and are left out: packed hashes meet in partitions and only those
    of shared ones go back to their texts.
 2. The suffixes that begin at shared anchors are sorted outside of memory (Spark's spilling
    sort by anchor, then a sort of each anchor's suffixes). The order of the suffixes that
@@ -84,21 +84,20 @@ def _bytes(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _packed(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, ids, block): 4 bytes of every anchor's hash and its place, by part of the hashes."""
+    """(part, ids, block): 4 bytes of every anchor's hash, by part of the hashes; a text tells
+    a hash once. A block is how many hashes each id has, then the hashes, id by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in runs(batch.column(1)):
-                at, hashes, owner = [], [], []
+                hashes, owner = [], []
                 for i, data in enumerate(_bytes(texts)):
                     if len(data) >= LENGTH:
-                        a, h, _, _ = anchors(data)
-                        at.append(a.astype(np.uint32))
-                        hashes.append(h)
-                        owner.append(np.full(len(a), i, dtype=np.uint32))
-                if not at:
+                        hashes.append(np.unique(anchors(data)[1]))
+                        owner.append(np.full(len(hashes[-1]), i, dtype=np.uint32))
+                if not hashes:
                     continue
-                h, a, o = np.concatenate(hashes), np.concatenate(at), np.concatenate(owner)
+                h, o = np.concatenate(hashes), np.concatenate(owner)
                 part = (h >> np.uint64(65 - parts.bit_length())).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -107,8 +106,8 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
                 for p in range(parts):
                     mine = order[ends[p] : ends[p + 1]]
                     if len(mine):
-                        present, number = np.unique(o[mine], return_inverse=True)
-                        block = np.stack([(h[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32), number.astype(np.uint32), a[mine]])
+                        present, each = np.unique(o[mine], return_counts=True)
+                        block = np.concatenate([each.astype(np.uint32), (h[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32)])
                         out[0].append(p)
                         out[1].append(ids[present].tobytes())
                         out[2].append(block.tobytes())
@@ -120,28 +119,27 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, places): where anchors are that two texts have; a task gets whole parts."""
+    """(doc_id, hashes): 4 bytes of the hashes of anchors that two texts have; a task gets whole parts."""
 
     def found(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, places = [], [], []
+        ids, hashes = [], []
         for _, own, block in rows:
-            h, number, at = np.frombuffer(block, dtype=np.uint32).reshape(3, -1)
-            ids.append(np.frombuffer(own, dtype=np.int64)[number])
-            hashes.append(h)
-            places.append(at)
-        ids, hashes, places = np.concatenate(ids), np.concatenate(hashes), np.concatenate(places)
+            own, block = np.frombuffer(own, dtype=np.int64), np.frombuffer(block, dtype=np.uint32)
+            ids.append(np.repeat(own, block[: len(own)]))
+            hashes.append(block[len(own) :])
+        ids, hashes = np.concatenate(ids), np.concatenate(hashes)
         order = np.argsort(hashes, kind="stable")
-        ids, hashes, places = ids[order], hashes[order], places[order]
+        ids, hashes = ids[order], hashes[order]
         cut = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         several = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut)
         keep = np.repeat(several, np.diff([*cut, len(ids)]))
-        ids, places = ids[keep], places[keep]
+        ids, hashes = ids[keep], hashes[keep]
         if len(ids):
             order = np.argsort(ids, kind="stable")
-            ids, places = ids[order], places[order]
+            ids, hashes = ids[order], hashes[order]
             cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            lists = pa.ListArray.from_arrays(pa.array([*cut, len(ids)], pa.int32()), pa.array(places.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), lists], ["doc_id", "places"])
+            lists = pa.ListArray.from_arrays(pa.array([*cut, len(ids)], pa.int32()), pa.array(hashes.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), lists], ["doc_id", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes]] = []
@@ -155,44 +153,49 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
             yield from found(held)
 
     sorted_ = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return sorted_.mapInArrow(run, "doc_id long, places array<int>")
+    return sorted_.mapInArrow(run, "doc_id long, hashes array<int>")
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, place, first, last, around): the bytes around every shared anchor, zeros
-    beyond a text; ``docs`` has doc_id, text, places."""
+    """(anchor, doc_id, place, around): the bytes around every shared anchor, zeros beyond its
+    strings, then how far before it they begin, at least and at most; ``docs`` has doc_id, text, hashes."""
+    column = np.arange(LEFT + RIGHT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in runs(batch.column(1)):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], []]
                 around = []
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
                 wanted = batch.column(2).slice(first, len(texts)).to_pylist()
-                for doc, data, places in zip(ids, _bytes(texts), wanted, strict=True):
+                for doc, data, shared in zip(ids, _bytes(texts), wanted, strict=True):
                     at, hashes, begin, end = anchors(data)
-                    keep = np.isin(at, np.array(places, dtype=np.int64))
+                    low32 = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                    keep = np.isin(low32, np.array(shared, dtype=np.int32))
                     at = at[keep]
+                    low, high = (at - end[keep])[:, None], (at - begin[keep])[:, None]
                     padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(RIGHT, np.uint8)])
-                    around.append(padded[at[:, None] + np.arange(LEFT + RIGHT)])
-                    for column, values in zip(out, (hashes[keep].view(np.int64), np.full(len(at), doc), at, begin[keep], end[keep]), strict=True):
-                        column.append(values.astype(np.int64))
+                    inside = (column >= LEFT - high) & (column < LEFT + RIGHT - low)
+                    bytes_ = np.where(inside, padded[at[:, None] + column], 0)
+                    around.append(np.concatenate([bytes_, low, high], axis=1).astype(np.uint8))
+                    for values, more in zip(out, (hashes[keep].view(np.int64), np.full(len(at), doc), at), strict=True):
+                        values.append(more.astype(np.int64))
                 if around:
                     rows = np.concatenate(around)
                     raw = pa.FixedSizeBinaryArray.from_buffers(
-                        pa.binary(LEFT + RIGHT), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]
+                        pa.binary(LEFT + RIGHT + 2), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]
                     ).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(np.concatenate(c)) for c in out), raw], ["anchor", "doc_id", "place", "first", "last", "around"]
+                        [*(pa.array(np.concatenate(c)) for c in out), raw], ["anchor", "doc_id", "place", "around"]
                     )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, place long, first long, last long, around binary")
+    return docs.mapInArrow(run, "anchor long, doc_id long, place long, around binary")
 
 
 def repeated(group: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Bit d of a row: the string that begins d bytes before its anchor is in a smaller text.
 
-    Rows are anchors with the bytes around them; ``low`` to ``high`` are the d that count.
+    Rows are anchors with the bytes around them that their strings cover; ``low`` to ``high`` are the d that count.
     """
     n = len(group)
     right = np.ascontiguousarray(np.pad(around[:, LEFT:], ((0, 0), (0, -RIGHT % 8)))).view(">u8").astype(np.uint64)
@@ -236,15 +239,16 @@ def _marked(suffixes: DataFrame) -> DataFrame:
 
     def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        anchor, doc, place, first, last = (table[c].to_numpy() for c in ("anchor", "doc_id", "place", "first", "last"))
+        anchor, doc, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "place"))
         # Anchors of one text need no look.
         cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         several = np.repeat(np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut), np.diff([*cut, len(doc)]))
         if not several.any():
             return
         around = np.frombuffer(b"".join(table["around"].to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
-        doc, place, first, last = doc[several], place[several], first[several], last[several]
-        marks = repeated(anchor[several], doc, place - last, place - first, around[several])
+        anchor, doc, place, around = anchor[several], doc[several], place[several], around[several]
+        low, high = around[:, -2].astype(np.int64), around[:, -1].astype(np.int64)
+        marks = repeated(anchor, doc, low, high, around[:, :-2])
         hit = marks != 0
         if hit.any():
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit]), pa.array(marks[hit])], ["doc_id", "place", "marks"])
@@ -346,9 +350,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(PARTS, 1 << (shuffled - 1).bit_length())
-    places = _shared(_packed(texts.select("doc_id", "text"), parts), parts)
-    places = places.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    marked = _marked(_suffixes(texts.join(places, "doc_id").select("doc_id", "text", "places")))
+    shared = _shared(_packed(texts.select("doc_id", "text"), parts), parts)
+    shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+    marked = _marked(_suffixes(texts.join(shared, "doc_id").select("doc_id", "text", "hashes")))
     hits = stored(marked, "suffix-marked").groupBy("doc_id").agg(F.collect_list(F.struct("place", "marks")).alias("hits"))
     cut = _cut(texts.join(hits, "doc_id").select("digest", "doc_id", "text", "hits"))
     cut = cut.dropDuplicates(["digest", "doc_id"])
