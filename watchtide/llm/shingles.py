@@ -56,7 +56,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     rolled = np.zeros(n, dtype=np.uint64)
     for i in range(width):
         rolled = rolled * _MULTIPLIER
-        rolled[: n - i] += words[i:]
+        rolled[: max(n - i, 0)] += words[i:]
     rolled = mixed(rolled)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         if b - a >= width:
