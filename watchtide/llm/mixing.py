@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +31,12 @@ GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 2048
 #: Rows sorted in one task.
 PIECE_ROWS = 4096
+SEED = 17
+
+
+def row_key(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """Names a row by its id and whole text, and gives its place in the shuffle."""
+    return F.xxhash64(F.lit(seed), doc_id, F.coalesce(text, F.lit("")))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, factor: float = FACTOR, most: float = MOST) -> DataFrame:
@@ -99,12 +105,12 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     block_tokens: int = BLOCK_TOKENS,
-    seed: int = 17,
+    seed: int = SEED,
     weights=WEIGHTS,
     factor: float = FACTOR,
     most: float = MOST,
 ) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken (words), first_slot."""
+    """Per row: doc_id, size, source_size, target, taken (words), first_slot, row_key."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(
@@ -112,7 +118,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
+            row_key(F.col(id_col), F.col(text_col), seed).alias("h"),
         ),
         "mix-rows",
     )
@@ -156,7 +162,7 @@ def mix(
     placed = pieces.join(slots(spark, sources, told.k, n_slots), ["sid", "rank"], "left")
     slot = F.when(F.col("rank").isNotNull(), F.coalesce("slot", F.lit(n_slots) + F.col("rank")))
     return (
-        placed.groupBy("sid", "part", "_row", "doc_id", "size", "source_size", "target")
+        placed.groupBy("sid", "part", "_row", "h", "doc_id", "size", "source_size", "target")
         .agg(F.sum("words").cast("long").alias("taken"), F.min(slot).alias("first_slot"))
-        .select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken", "first_slot")
+        .select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken", "first_slot", F.col("h").alias("row_key"))
     )

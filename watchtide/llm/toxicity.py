@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchtide.llm.shingles import mixed
 
@@ -206,18 +207,25 @@ def _odds(share: float) -> float:
     return float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), predicted."""
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, score (0 to 1), predicted; with ``keep``, these columns of every row in place of doc_id."""
+    kept = [F.col(c) for c in keep] or [F.col(id_col).alias("doc_id")]
+    # A text that is kept goes to the workers once.
+    at = keep.index(text_col) if text_col in keep else len(kept)
+    rows = docs.select(*kept, *([] if text_col in keep else [F.col(text_col).cast("string").alias("_scored")]))
+    fields = rows.schema.fields[: len(kept)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = [_compressor(c) for c in model.contents]
+        names = [*(f.name for f in fields), "score"]
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts, compressors))], ["doc_id", "score"])
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            scores = pa.array(model.score(texts, compressors))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], scores], names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
