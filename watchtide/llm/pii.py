@@ -40,7 +40,7 @@ BASIC, CHECKED, NEARBY, ENOUGH = 0.6, 0.3, 0.2, 0.8
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
-    """Structs (start, end, value) of a pattern's leftmost matches that do not overlap."""
+    """Structs (start, end, value) of a pattern's leftmost matches that do not overlap, where confirmed."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -49,7 +49,9 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
         start = a["at"] + z["gap"]
         end = start + F.length(z["value"])
         span = F.struct(start.alias("start"), end.alias("end"), z["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+        # Only what is confirmed is added: a text full of numbers stays linear.
+        out = F.when(_confirmed(kind, z["value"]), F.concat(a["out"], F.array(span))).otherwise(a["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda z: z["value"].isNotNull())
     return F.aggregate(pairs, zero, step)["out"]
@@ -100,7 +102,7 @@ def _confirmed(kind: str, value: Column) -> Column:
 
 def _spans(kind: str, text: Column, pattern: str, needs: str) -> Column:
     maybe = F.contains(text, F.lit(needs)) if needs else text.rlike(pattern)
-    found = F.filter(_found(text, pattern, kind), lambda s: _confirmed(kind, s["value"]))
+    found = _found(text, pattern, kind)
     checked = kind in ("ip", "card", "iban")
 
     def scored(s: Column) -> Column:
