@@ -2,32 +2,43 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; the result is written
 and read again before the next one. All but the last return the columns of documents.
-Texts may be null or empty; an empty table passes through every stage.
+Texts may be null or empty and ids missing; rows without an id pass like any other. An empty
+table passes through every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtide.llm import exact, jaccard, mixing, pieces, toxicity
 from watchtide.llm.common import prepare, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KEY = ("_id", "_without", "_digest")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go. It learns from labelled documents outside the held-out part."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_rows(docs, labels))
-    rejected = toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.score(docs, model, keep=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
-    kept = exact.exact_dedup(docs, exact.DigestIndex.fresh(spark)).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts the row with the smallest id stays, once if it is repeated.
+
+    Rows are met by id and digest: neither a missing id nor two texts of one id lose a row,
+    and the copies of one text are spread by their ids.
+    """
+    found = exact.exact_dedup(docs, exact.DigestIndex.fresh(spark)).filter("kept")
+    kept = found.select(*_key(F.col("doc_id"), F.col("text_sha256"))).distinct()
+    rows = docs.select(*COLUMNS, *_key(F.col("doc_id"), exact.digest(F.col("text"))))
+    return rows.join(kept, list(KEY)).dropDuplicates(list(KEY)).select(*COLUMNS)
+
+
+def _key(doc_id: Column, digest: Column) -> list[Column]:
+    return [c.alias(k) for c, k in zip((F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), digest), KEY, strict=True)]
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +51,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many whole copies of a document as the mix takes of its words, rounded: none, one or
     two. Documents without words, which weigh nothing, stay once."""
-    taken = mixing.mix(docs).filter("doc_id is not null")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    copies = taken.groupBy("doc_id").agg(F.max(copies).alias("copies")).filter("copies > 0")
-    many = docs.join(copies, "doc_id")
+    copies = mixing.mix(docs).groupBy("row_key").agg(F.max(copies).alias("copies")).filter("copies > 0")
+    rows = docs.select(*COLUMNS, mixing.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    many = rows.join(copies, "row_key")
     return many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
