@@ -156,6 +156,17 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (len(shingles(t)), want[i]) for i, t in texts}
 
 
+def test_shingles_of_runs_with_few_words():
+    import pyarrow as pa
+
+    from watchtide.llm.shingles import shingle_sets
+
+    for n in range(12):  # all the words that a run of texts has
+        for texts in ([prose(7, n)], ["", *prose(7, n).split(), None], [prose(7, n), prose(8, 6)]):
+            sizes = [len(s) for s in shingle_sets(pa.array(texts, pa.string()), 5)]
+            assert sizes == [len(shingles(t)) for t in texts]
+
+
 def test_tree_finds_every_pair_the_bound_allows():
     import numpy as np
 
@@ -337,6 +348,21 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     }
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    normal = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    left = corpus_pipeline.drop_copies(spark, docs, folder)
+    rows = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(normal(t) for _, t in rows) == sorted({normal(t) for _, t in TEXTS})
+    assert (None, "no id at all") in rows and (12, "same id, other text") in rows and (1, NEAR) in rows
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, left, folder).collect()]
+    for row in rows:
+        assert mixed.count(row) == 1 if not WORD.search(row[1] or "") else mixed.count(row) <= 2
+    assert set(mixed) <= set(rows)
+    clean = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and clean.filter("doc_id is null").count() == 2
+
+
 def test_pipeline(spark, folder):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
