@@ -481,11 +481,18 @@ def test_search_many_equals_single_searches(spark, folder):
         assert [(i, s) for _, i, s in mine] == [(r["id"], round(r["score"], 9)) for r in single]
 
 
-def test_too_many_queries_are_refused(spark, folder, monkeypatch):
-    points = spark.read.parquet(f"{folder}/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    monkeypatch.setattr(retrieval, "MAX_QUERIES", 3)
-    with pytest.raises(ValueError):
-        retrieval.vector_search_many(points, points.withColumnRenamed("id", "query_id"))
+def test_any_number_of_queries(spark, folder, monkeypatch):
+    points = spark.read.parquet(f"{folder}/embeddings.parquet").withColumnRenamed("vec_id", "id").select("id", "embedding")
+    one = points.filter("id = 1").select(F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("query_id"), "embedding")
+    best = retrieval.vector_search_many(points, one, 1)
+    assert best.select("query_id").distinct().count() == 5000 and {r["id"] for r in best.select("id").distinct().collect()} == {1}
+    some = points.filter("id < 20").withColumnRenamed("id", "query_id")
+    rows = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.vector_search_many(points, some, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "POINT_BLOCK", 7)
+    assert rows() == whole and len(whole) == 4 * some.count()
+    assert retrieval.vector_search_many(points, some.limit(0), 4).count() == 0
 
 
 # ---------------------------------------------------------------- reports

@@ -6,16 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Forest size, sample and depth, rows needed, and vectors kept for training.
+# Forest size, sample and depth, and rows needed.
 TREES = 50
 SAMPLE = 128
 DEPTH = 8
 MIN_ROWS = 10
-HISTORY = 500
+#: A tree's candidates: so many times its sample are expected to pass the first cut.
+MARGIN = 4
 EULER_GAMMA = 0.5772156649
 
 FEATURES = ("rate", "entropy", "unique_sources", "acceleration", "burst_ratio")
@@ -76,28 +77,30 @@ def train(
     trees: int = TREES,
     sample: int = SAMPLE,
     depth: int = DEPTH,
-    history: int = HISTORY,
+    history: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Grow a forest on the latest ``history`` vectors; the result is its node table.
+    """Grow a forest on samples of all vectors; the result is its node table.
 
-    Draws with replacement come from a hash of tree and draw number, so the same rows
-    give the same forest whatever the partitioning. Fewer than ten rows give no trees.
+    A tree takes the ``sample`` rows with the smallest hash of tree and order columns, so the
+    same rows give the same forest whatever the partitioning. A cut by the hash, at a share
+    that follows the row count, comes before the shuffle, so that some hundred rows per tree
+    are ranked however many there are. ``history`` keeps only the latest rows. Fewer than
+    ten rows give no trees.
     """
-    latest = features.select(*[F.col(c).cast("double").alias(c) for c in columns], *order)
-    names = latest.columns[len(columns) :]
-    latest = latest.orderBy(*[F.col(c).desc() for c in names]).limit(history)
-    rows = F.sort_array(F.collect_list(F.struct(*names, F.array(*columns).alias("x"))), False)
-    pool = latest.agg(rows.alias("rows")).withColumn("n", F.size("rows"))
-    draws = (
-        pool.filter(F.col("n") >= MIN_ROWS)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(trees * sample - 1))))
-        .filter(F.col("draw") % sample < F.col("n"))
-        .select(
-            F.expr(f"draw div {sample}").alias("tree"),
-            F.get("rows", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("n")).cast("int"))["x"].alias("x"),
-        )
+    rows = features.select(*[F.col(c).cast("double").alias(c) for c in columns], *order)
+    names = rows.columns[len(columns) :]
+    if history is not None:
+        rows = rows.orderBy(*[F.col(c).desc() for c in names]).limit(history)
+    n = rows.agg(F.count(F.lit(1))).scalar()
+    drawn = (
+        rows.select(*names, F.array(*columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tree", *names), 11))
+        .filter((n >= MIN_ROWS) & (F.col("h") / F.lit(float(1 << 53)) <= F.lit(float(MARGIN * sample)) / n))
     )
+    first = Window.partitionBy("tree").orderBy("h", "x")
+    draws = drawn.withColumn("draw", F.row_number().over(first)).filter(F.col("draw") <= sample)
+    draws = draws.select(F.col("tree").cast("long").alias("tree"), "x")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

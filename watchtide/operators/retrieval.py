@@ -19,7 +19,9 @@ CHUNK_OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 TOP_K = 3
 MIN_RELEVANCE = 0.4
-MAX_QUERIES = 4096
+# How many queries and points one task compares at a time; not a limit on either.
+QUERY_BLOCK = 1024
+POINT_BLOCK = 65536
 
 
 def _stop(text: str, start: int, size: int, overlap: int) -> int:
@@ -115,45 +117,44 @@ def vector_search_many(
 ) -> DataFrame:
     """The k most similar points of every query, exactly.
 
-    The queries are fetched once, refused above a fixed number, and multiplied against
-    each batch of points. A task keeps k hits per query, so only those are shuffled.
+    Points are dealt into parts and queries into blocks; a task compares one part with one
+    block and keeps k hits per query, so only those go on. Both numbers follow the counts,
+    neither side comes to the driver, and a group's size does not grow with the input.
     """
-    found = queries.select(query_col, "embedding").limit(MAX_QUERIES + 1).toPandas()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them into several searches")
+    spark = points.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // POINT_BLOCK))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     schema = T.StructType(
         [queries.schema[query_col], points.schema[id_col], T.StructField("score", T.DoubleType())]
     )
-    if found.empty:
-        return points.sparkSession.createDataFrame([], schema)
-    names = found[query_col].to_numpy()
-    q = np.array(found["embedding"].tolist(), dtype=float)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
-
-    def local_best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            v = np.array(pdf["embedding"].tolist(), dtype=float)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            sims = (v / np.where(norm > 0, norm, 1.0)) @ q.T
-            ids = pdf[id_col].to_numpy()
-            parts = [] if best is None else [best]
-            for j, name in enumerate(names):
-                s = sims[:, j]
-                top = np.lexsort((ids, -s))[:k]
-                parts.append(pd.DataFrame({query_col: name, id_col: ids[top], "score": s[top]}))
-            best = (
-                pd.concat(parts)
-                .sort_values([query_col, "score", id_col], ascending=[True, False, True])
-                .groupby(query_col)
-                .head(k)
-            )
-        if best is not None:
-            yield best[[query_col, id_col, "score"]]
 
-    hits = points.select(id_col, "embedding").mapInPandas(local_best, schema)
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    left = points.select(id_col, "embedding", dealt(id_col, parts).alias("_part"), every(blocks).alias("_block"))
+    right = queries.select(query_col, "embedding", dealt(query_col, blocks).alias("_block"), every(parts).alias("_part"))
+
+    def local_best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({query_col: asked[query_col][:0], id_col: found[id_col][:0], "score": np.zeros(0)})]
+        if len(found) and len(asked):
+            v = np.array(found["embedding"].tolist(), dtype=float)
+            q = np.array(asked["embedding"].tolist(), dtype=float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
+            ids = found[id_col].to_numpy()
+            for name, one in zip(asked[query_col], q, strict=True):
+                s = v @ one
+                # Ties at the last place go by id, so all of them stay until the sort.
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                top = near[np.lexsort((ids[near], -s[near]))[:k]]
+                out.append(pd.DataFrame({query_col: name, id_col: ids[top], "score": s[top]}))
+        return pd.concat(out[1:] or out)
+
+    keys = ("_part", "_block")
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(local_best, schema)
     if threshold is not None:
         hits = hits.filter(F.col("score") >= threshold)
     rank = Window.partitionBy(query_col).orderBy(F.col("score").desc(), id_col)
