@@ -299,6 +299,13 @@ def test_personal_data_equals_brute_force(spark, folder):
         assert {k: [(s.start, s.end) for s in r[k]] for k in want} == want
 
 
+def test_personal_data_of_numbers_with_any_length(spark):
+    texts = ["9" * 60 + ".1.2.3 and 1.2.3.4", "1.2." + "0" * 300 + "7.255", "1.2.3." + "1" * 39, "4294967297.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.ip] for r in pii.personal_data(df).collect()}
+    assert got == {i: personal(t)["ip"] for i, t in enumerate(texts)}
+
+
 def test_personal_data_added_by_check_sum_and_context(spark):
     text = "iban GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33; please call 555 123 4567 or 555 123 4568 x 1"
     r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
