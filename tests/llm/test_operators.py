@@ -212,6 +212,22 @@ def test_suffix_equals_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_cuts_each_of_two_long_texts_with_one_id(spark):
+    passage, other = prose(50, 30), prose(51, 30)
+    texts = [(1, passage), (2, other), (5, prose(52, 300) + passage), (5, prose(53, 20) + other[:90])]
+    texts += [(5, prose(54, 60)), (7, prose(54, 60) + passage), (7, prose(53, 20)), (5, prose(54, 60)), (8, prose(52, 300))]
+    want = []
+    for i, t in texts:
+        raw, gone = t.encode(), bytearray(len(t.encode()))
+        for k in range(len(raw) - 49):
+            if any(j < i and raw[k : k + 50] in u.encode() for j, u in texts):
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want.append((i, len(raw), sum(gone), hashlib.sha256(kept).hexdigest()))
+    got = suffix.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(9)
     rows = [(i, prose(i, rng.randrange(0, 60)), rng.choice(["a", "b", "b", "b", None, "c", "é"])) for i in range(500)]

@@ -17,8 +17,9 @@ The induction follows a fixed number of steps (an anchor is at most 30 bytes int
 string), where full recursive induction would order all suffixes of all texts, most of which
 repeat nowhere. Equal texts are handled first: all but the smallest id lose every byte.
 
-Defined cases: null text is empty; texts below 50 bytes lose nothing; rows that share an id
-are not earlier than each other; rows without an id are earlier than none and lose nothing;
+Defined cases: null text is empty; texts below 50 bytes lose nothing; different texts may
+share an id: they are not earlier than each other, and each is cut at its own places (the
+smallest digest of an id is its text 0, any other is numbered by its hash); rows without an id are earlier than none and lose nothing;
 repeated rows get equal results; an empty table gives an empty result; other columns are
 not read; matches never cross texts.
 """
@@ -157,18 +158,19 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, place, around): the bytes around every shared anchor, zeros beyond its
-    strings, then how far before it they begin, at least and at most; ``docs`` has doc_id, text, hashes."""
+    """(anchor, doc_id, which, place, around): the bytes around every shared anchor, zeros beyond its
+    strings, then how far before it they begin, at least and at most; ``docs`` has doc_id, text, hashes, which."""
     column = np.arange(LEFT + RIGHT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in runs(batch.column(1)):
-                out: list[list[np.ndarray]] = [[], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], []]
                 around = []
                 ids = batch.column(0).slice(first, len(texts)).to_pylist()
                 wanted = batch.column(2).slice(first, len(texts)).to_pylist()
-                for doc, data, shared in zip(ids, _bytes(texts), wanted, strict=True):
+                numbers = batch.column(3).slice(first, len(texts)).to_pylist()
+                for doc, data, shared, which in zip(ids, _bytes(texts), wanted, numbers, strict=True):
                     at, hashes, begin, end = anchors(data)
                     low32 = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                     keep = np.isin(low32, np.array(shared, dtype=np.int32))
@@ -178,7 +180,8 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                     inside = (column >= LEFT - high) & (column < LEFT + RIGHT - low)
                     bytes_ = np.where(inside, padded[at[:, None] + column], 0)
                     around.append(np.concatenate([bytes_, low, high], axis=1).astype(np.uint8))
-                    for values, more in zip(out, (hashes[keep].view(np.int64), np.full(len(at), doc), at), strict=True):
+                    columns = (hashes[keep].view(np.int64), np.full(len(at), doc), np.full(len(at), which), at)
+                    for values, more in zip(out, columns, strict=True):
                         values.append(more.astype(np.int64))
                 if around:
                     rows = np.concatenate(around)
@@ -186,10 +189,10 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                         pa.binary(LEFT + RIGHT + 2), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]
                     ).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(np.concatenate(c)) for c in out), raw], ["anchor", "doc_id", "place", "around"]
+                        [*(pa.array(np.concatenate(c)) for c in out), raw], ["anchor", "doc_id", "which", "place", "around"]
                     )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, place long, around binary")
+    return docs.mapInArrow(run, "anchor long, doc_id long, which long, place long, around binary")
 
 
 def repeated(group: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -235,23 +238,25 @@ def repeated(group: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _marked(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, place, marks) of anchors with repeated strings; a task gets whole anchors, sorted."""
+    """(doc_id, which, place, marks) of anchors with repeated strings; a task gets whole anchors, sorted."""
 
     def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        anchor, doc, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "place"))
+        anchor, doc, which, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "which", "place"))
         # Anchors of one text need no look.
         cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         several = np.repeat(np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut), np.diff([*cut, len(doc)]))
         if not several.any():
             return
         around = np.frombuffer(b"".join(table["around"].to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
-        anchor, doc, place, around = anchor[several], doc[several], place[several], around[several]
+        anchor, doc, which, place, around = anchor[several], doc[several], which[several], place[several], around[several]
         low, high = around[:, -2].astype(np.int64), around[:, -1].astype(np.int64)
         marks = repeated(anchor, doc, low, high, around[:, :-2])
         hit = marks != 0
         if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit]), pa.array(marks[hit])], ["doc_id", "place", "marks"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[hit]) for c in (doc, which, place, marks)], ["doc_id", "which", "place", "marks"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -273,7 +278,7 @@ def _marked(suffixes: DataFrame) -> DataFrame:
             yield from find(pa.Table.from_batches(held))
 
     return suffixes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        run, "doc_id long, place long, marks long"
+        run, "doc_id long, which long, place long, marks long"
     )
 
 
@@ -340,21 +345,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keys = stored(rows.select("doc_id", "digest", "n_bytes"), "suffix-rows")
     firsts = stored(keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "suffix-firsts")
     # Without later copies, laid out by id once: the joins below move no text.
-    copies = keys.join(firsts.withColumnRenamed("doc_id", "least"), "digest").filter("doc_id > least").select("doc_id", "digest")
+    least = keys.filter((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull()).join(
+        firsts.withColumnRenamed("doc_id", "least"), "digest"
+    )
+    of_id = least.groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.col("digest"))).alias("gone"), F.min("digest").alias("zero")
+    )
     texts = _laid_out(
         rows.filter((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull())
         .hint("merge")
-        .join(copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone")), "doc_id", "left")
-        .filter(F.coalesce(~F.array_contains("gone", F.col("digest")), F.lit(True)))
-        .select("doc_id", "digest", "text")
+        .join(of_id, "doc_id")
+        .filter(~F.array_contains("gone", F.col("digest")))
+        .select(
+            "doc_id", "digest", "text", F.when(F.col("digest") == F.col("zero"), 0).otherwise(F.xxhash64("digest")).cast("long").alias("which")
+        )
     )
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(PARTS, 1 << (shuffled - 1).bit_length())
     shared = _shared(_packed(texts.select("doc_id", "text"), parts), parts)
     shared = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
-    marked = _marked(_suffixes(texts.join(shared, "doc_id").select("doc_id", "text", "hashes")))
-    hits = stored(marked, "suffix-marked").groupBy("doc_id").agg(F.collect_list(F.struct("place", "marks")).alias("hits"))
-    cut = _cut(texts.join(hits, "doc_id").select("digest", "doc_id", "text", "hits"))
+    marked = _marked(_suffixes(texts.join(shared, "doc_id").select("doc_id", "text", "hashes", "which")))
+    hits = stored(marked, "suffix-marked").repartition("doc_id").groupBy("doc_id", "which").agg(
+        F.collect_list(F.struct("place", "marks")).alias("hits")
+    )
+    # The key of this join is the id alone, by which the texts lie; the two bounds say which of its texts.
+    hits = hits.withColumnRenamed("which", "of")
+    cut = _cut(texts.join(hits, "doc_id").filter("which >= of and which <= of").select("digest", "doc_id", "text", "hits"))
     cut = cut.dropDuplicates(["digest", "doc_id"])
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     whole = F.lower(F.hex("digest"))
