@@ -371,6 +371,33 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     }
 
 
+def test_licences_in_long_lines_over_lines_and_reserved_rights(spark, monkeypatch):
+    wrapped = "Permission is hereby\n * granted, free of charge,\n * to any person obtaining\n * a copy of this software"
+    texts = {
+        "All rights reserved.": "All-Rights-Reserved",
+        "Copyright (c) 2020 Somebody. All rights reserved.": "All-Rights-Reserved",
+        "All rights are equal\nhuman rights, all of them": None,
+        prose(1, 300) + " licensed under the Apache License, Version 2.0. " + prose(2, 300): "Apache-2.0",
+        prose(3, 9) + "\n * " + wrapped + "\n" + prose(4, 9): "MIT",
+        "ich bin\nmit\nmit mit mit mit mit": None,
+        prose(5, 40) + "\nMIT License\nAll rights reserved.": "MIT",
+        "about the history of the license as such": None,
+        "": None,
+    }
+    want = [*texts.values(), "MIT"]
+    df = spark.createDataFrame([(1, "p", t) for t in (*texts, "MIT License")], "doc_id long, path string, text string")
+    got = licenses.detect(df, keep=("text",)).collect()  # rows of one id are apart
+    assert {r.text: r.license for r in got} == texts | {"MIT License": "MIT"} and len(got) == len(want)
+    # Where a long text is cut into pieces does not matter.
+    whole = licenses.Templates()
+    for pad in range(0, 400, 7):
+        long = prose(6, 900) + "\n" + prose(7, pad + 1) + " " + wrapped + " " + prose(8, 700)
+        want = whole.first(long)
+        monkeypatch.setattr(licenses, "PIECE", 300)
+        assert whole.first(long) == want and want[1] == "MIT"
+        monkeypatch.undo()
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs, folder):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     normal = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")

@@ -121,9 +121,9 @@ OP3_SQL = OP3_SQL.replace(
 
 def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence of every document: its own, or the nearest directory's. Source, language and
-    hundreds of ids play the directories; a document that begins with its licence is a
-    directory's licence file."""
-    return licenses.scan(licenses.as_files(documents(spark, folder)))
+    hundreds of ids play the directories; a document with a notice is a licence file of its
+    directory."""
+    return licenses.scan_documents(documents(spark, folder))
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
