@@ -371,6 +371,20 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     }
 
 
+def test_licences_of_given_documents_are_inherited_from_several_levels(spark, tmp_path):
+    # As in the given documents, a notice is the last line.
+    notices = {300: "Released under the MIT License.", 301: "Licensed under CC BY-NC 4.0.", 302: "All rights reserved."}
+    texts = {i: prose(i, 20) + ("\n" + notices[i] if i in notices else "") for i in (*range(300, 308), 410, 500)}
+    rows = [(i, "s", "de" if i == 500 else "en", t) for i, t in texts.items()] + [(600, "t", "en", "none here"), (None, "t", None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin, r.from_path) for r in registered.op4_licenses(spark, str(tmp_path)).collect()}
+    assert got[300] == ("MIT", "own", "s/LICENSE-300") and got[302] == ("All-Rights-Reserved", "own", "s/en/3/LICENSE-302")
+    assert got[305] == ("All-Rights-Reserved", "directory", "s/en/3/LICENSE-302")
+    assert got[410] == ("CC-BY-NC-4.0", "directory", "s/en/LICENSE-301")
+    assert got[500] == ("MIT", "directory", "s/LICENSE-300")
+    assert got[600] == got[None] == (None, None, None) and len(got) == len(rows)
+
+
 def test_licences_in_long_lines_over_lines_and_reserved_rights(spark, monkeypatch):
     wrapped = "Permission is hereby\n * granted, free of charge,\n * to any person obtaining\n * a copy of this software"
     texts = {

@@ -189,12 +189,15 @@ def detect(files: DataFrame, templates=TEMPLATES, least: float = LEAST, keep: tu
 
 def role(license: Column) -> Column:
     """Path of a document in the role of a file. Directories are source, language and hundreds of
-    ids; a document with a notice is a licence file of its directory."""
+    ids; a document with a notice is the licence file of one of the three levels, by its id."""
     levels = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))]
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    level = F.pmod(F.col("doc_id"), F.lit(3))
     notice = F.concat(F.lit("LICENSE-"), name)
     return (
         F.when(license.isNull(), F.concat_ws("/", *levels, F.concat(F.lit("doc-"), name)))
+        .when(level == 0, F.concat_ws("/", *levels[:1], notice))
+        .when(level == 1, F.concat_ws("/", *levels[:2], notice))
         .otherwise(F.concat_ws("/", *levels, notice))
     )
 

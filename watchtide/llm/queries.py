@@ -121,8 +121,8 @@ OP3_SQL = OP3_SQL.replace(
 
 def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence of every document: its own, or the nearest directory's. Source, language and
-    hundreds of ids play the directories; a document with a notice is a licence file of its
-    directory."""
+    hundreds of ids play the directories; a document with a notice is the licence file of one
+    of these levels, by its id."""
     return licenses.scan_documents(documents(spark, folder))
 
 
