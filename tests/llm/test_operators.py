@@ -156,6 +156,50 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (len(shingles(t)), want[i]) for i, t in texts}
 
 
+def test_jaccard_splits_large_buckets_and_loses_no_link(spark, monkeypatch):
+    rng = random.Random(8)
+    common, texts = prose(300, 60).split(), []
+    for group in range(30):  # one passage in all, links within a group
+        words = common + prose(301 + group, 40).split()
+        for _ in range(4):
+            texts.append((len(texts), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(60, 100)] = f"new{rng.random()}"
+    texts += [(len(texts) + k, " ".join([*common, "end", str(k)])) for k in range(70)]  # one large component
+    sizes, search = [], jaccard._search
+
+    def seen(buckets, percent):
+        sizes.append(buckets.groupBy("key").count().agg(F.max("count")).first()[0])
+        return search(buckets, percent)
+
+    monkeypatch.setattr(jaccard, "SPLIT", 10)
+    monkeypatch.setattr(jaccard, "_search", seen)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == classes(texts)
+    assert sizes[0] <= 50  # about two blocks of 10; the largest bucket has about 100 points
+
+
+def test_tree_leaves_out_pairs_of_one_group_only():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    points = rng.poisson(3, (500, jaccard.GROUPS)).astype(np.int32)
+    points[1::2] = np.maximum(points[::2] + rng.integers(-1, 2, points[::2].shape), 0)
+    points[200:] = points[200] + rng.integers(0, 2, (300, jaccard.GROUPS))
+    groups = np.r_[np.arange(195), np.full(305, 7000)]
+    found = [p for a, b in jaccard.Tree(points, groups).join(75) for p in zip(a.tolist(), b.tolist())]
+    size = points.sum(axis=1)
+    want = {
+        (i, j)
+        for i in range(500)
+        for j in range(i + 1, 500)
+        if groups[i] != groups[j] and 175 * np.minimum(points[i], points[j]).sum() >= 75 * (size[i] + size[j])
+    }
+    assert want == {tuple(sorted(p)) for p in found if groups[p[0]] != groups[p[1]]}
+    assert len(found) < 20000  # 305 points of one group make 46,360 pairs
+
+
 def test_shingles_of_runs_with_few_words():
     import pyarrow as pa
 

@@ -16,7 +16,8 @@ Large groups of copies cost their size, not its square: first every point is com
 its bucket's smallest id only, and verified links become components. Then only buckets that
 hold several components are searched, and only for pairs between different components. The
 components are those of all links. A bucket above ``SPLIT`` points is cut into one for each
-second key. Nothing is capped and no list of pairs within a group is made.
+other key of its points; one still above is dealt in blocks of points, every two blocks
+together, so that no task gets many more than twice ``SPLIT``. Nothing is capped and no list of pairs within a group is made.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; with
 fewer words than a shingle the whole text is one; rows without an id are in the result as
@@ -111,18 +112,27 @@ def _names(raw: bytes) -> np.ndarray:
 
 
 class Tree:
-    """Points packed into boxes of LEAF by size, boxes into boxes, up to one root level."""
+    """Neighbouring points packed into boxes of LEAF, boxes into boxes, up to one root level.
 
-    def __init__(self, points: np.ndarray):
+    With ``groups``, pairs of boxes that hold one and the same group only are not looked at.
+    """
+
+    def __init__(self, points: np.ndarray, groups: np.ndarray | None = None):
         self.size = points.sum(axis=1)
-        self.order = np.argsort(self.size, kind="stable")
+        groups = np.arange(len(points)) if groups is None else np.unique(groups, return_inverse=True)[1]
+        # A group that fills boxes has boxes of its own.
+        own = np.where(np.bincount(groups)[groups] >= 2 * LEAF, groups, -1)
+        by_own = np.argsort(own, kind="stable")
+        parts = np.split(by_own, np.flatnonzero(np.diff(own[by_own])) + 1)
+        self.order = np.concatenate([_neighbours(points, self.size, part) for part in parts])
         self.points, self.size = points[self.order], self.size[self.order]
         self.levels = []
-        high, low = self.points, self.size
+        high, low, least, most = self.points, self.size, groups[self.order], groups[self.order]
         while True:
             at = np.arange(0, len(high), LEAF)
             high, low = np.maximum.reduceat(high, at, axis=0), np.minimum.reduceat(low, at)
-            self.levels.append((high, low))
+            least, most = np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((high, low, np.where(least == most, least, -1)))
             if len(high) <= LEAF:
                 break
 
@@ -133,10 +143,11 @@ class Tree:
             most = np.minimum(high_a, high_b).sum(axis=1, dtype=np.int64)
             return (100 + percent) * most >= percent * (low_a + low_b)
 
-        high, low = self.levels[-1]
-        a, b = np.triu_indices(len(high))
+        a, b = np.triu_indices(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, low = self.levels[depth]
+            high, low, group = self.levels[depth]
+            several = (group[a] != group[b]) | (group[a] < 0)
+            a, b = a[several], b[several]
             keep = np.concatenate(
                 [possible(high[x], low[x], high[y], low[y]) for x, y in _blocks(a, b)] or [np.zeros(0, bool)]
             )
@@ -161,6 +172,22 @@ class Tree:
         return i[ok], j[ok]
 
 
+def _neighbours(points: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``rows`` in an order that keeps near points together: halved again and again by the size
+    or coordinate that differs most."""
+    out, open_ = [], [rows]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        all_ = np.column_stack([size[rows], points[rows]])
+        half = LEAF * (-(-len(rows) // LEAF) // 2)
+        order = np.argsort(all_[:, all_.var(axis=0).argmax()], kind="stable")
+        open_ += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(out)
+
+
 def _blocks(a: np.ndarray, b: np.ndarray, size: int = 32768) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(a), size):
         yield a[at : at + size], b[at : at + size]
@@ -183,7 +210,9 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
         for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             if end - start < 2:
                 continue
-            for i, j in Tree(vectors[start:end]).join(percent):
+            if (groups[start:end] == groups[start]).all():
+                continue
+            for i, j in Tree(vectors[start:end], groups[start:end]).join(percent):
                 i, j = start + i, start + j
                 ok = groups[i] != groups[j]
                 i, j = i[ok], j[ok]
@@ -248,6 +277,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """(key, n) of the buckets that hold several components; ``rows`` has key, component."""
+    sizes = rows.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
+    return sizes.filter("c <> d").select("key", "n")
+
+
+def _split(rows: DataFrame, most: int) -> DataFrame:
+    """(node, component, counts, turn, key): rows of buckets that are too large, in smaller ones.
+
+    ``rows``: node, component, counts, turn, key, keys. The key a bucket is named by does not
+    divide it, so it is no second key. Two blocks of a bucket above ``most`` meet in a bucket.
+    """
+    others = F.filter("keys", lambda k, i: i != F.col("turn"))
+    second = rows.select(
+        "node", "component", "counts", F.explode(F.transform(others, lambda k: F.xxhash64("key", k))).alias("key")
+    )
+    second = stored(second, "jaccard-split")
+    second = second.join(_several(second), "key").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    second = second.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    second = second.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return second.select(
+        "node", "component", "counts", F.lit(-1).alias("turn"), F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -278,21 +333,13 @@ def near_duplicates(
         "jaccard-labels",
     )
     rows = rows.join(label, "node")
-    mixed_buckets = (
-        rows.groupBy("key")
-        .agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
-        .filter("c <> d")
-        .select("key", "n")
-    )
-    open_rows = rows.join(mixed_buckets, "key").join(nodes, "node")
-    second_keys = F.transform("keys", lambda k: F.xxhash64("key", k))
-    open_rows = open_rows.select(
-        "node",
-        "component",
-        "counts",
-        F.when(F.col("n") > SPLIT, -1).otherwise(F.col("turn")).alias("turn"),
-        F.explode(F.when(F.col("n") > SPLIT, second_keys).otherwise(F.array("key"))).alias("key"),
-    )
+    mixed_buckets = stored(_several(rows), "jaccard-buckets")
+    columns = ("node", "component", "counts", "turn", "key")
+    small = mixed_buckets.filter(F.col("n") <= SPLIT)
+    open_rows = rows.join(small, "key").join(nodes, "node").select(*columns)
+    large = mixed_buckets.filter(F.col("n") > SPLIT)
+    if not large.isEmpty():
+        open_rows = open_rows.union(_split(rows.join(large.select("key"), "key").join(nodes, "node").select(*columns, "keys"), SPLIT))
     candidates = _search(open_rows.repartition("key").sortWithinPartitions("key"), percent).distinct()
     second = stored(_verified(stored(candidates, "jaccard-second"), docs, width, percent), "jaccard-links")
     final = components(first.union(second), "jaccard-components")
