@@ -200,6 +200,33 @@ def test_tree_leaves_out_pairs_of_one_group_only():
     assert len(found) < 20000  # 305 points of one group make 46,360 pairs
 
 
+def test_results_do_not_depend_on_runs(spark, monkeypatch):
+    import pyarrow as pa
+
+    from watchtide.llm import shingles as module
+
+    # A batch is taken in slices: the sets of slices are those of the whole.
+    texts = pa.array([prose(k, 40 + k) for k in range(12)] + ["A Few WORDS", None, ""], pa.string())
+    for width in (4, 9):
+        whole = [s.tolist() for s in module.shingle_sets(texts, width)]
+        parts = [s.tolist() for at in range(0, 15, 5) for s in module.shingle_sets(texts.slice(at, 5), width)]
+        assert parts == whole and [len(s) for s in whole[:3]] == [40 + k - width + 1 for k in range(3)]
+    rng, rows = random.Random(4), []
+    for group in range(10):
+        words = prose(700 + group, 60).split()
+        for _ in range(6):
+            rows.append((len(rows), " ".join(words)))
+            words = [*words[:-1], f"new{rng.randrange(3)}"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    cut, coded = sorted(suffix.dedup(df).collect()), sorted(pieces.encode(df).collect())
+    monkeypatch.setattr(module, "RUN_BYTES", 700)
+    monkeypatch.setattr(pieces, "RUN_BYTES", 700)
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == plain == classes(rows)
+    assert sorted(suffix.dedup(df).collect()) == cut and sorted(pieces.encode(df).collect()) == coded
+
+
 def test_shingles_of_runs_with_few_words():
     import pyarrow as pa
 

@@ -48,7 +48,10 @@ BITMAPS = 256
 
 
 def _points(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, keys, counts (little-endian) per row."""
+    """doc_id, n_shingles, digest of the set, keys, counts per row.
+
+    ``counts``: the keys once more, then the counts of the groups, 1, 2 or 8 bytes each.
+    """
     salts = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +70,8 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
                     low = mixed(low + salts)
                     keys.append(low.view(np.int64))
                     point = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
-                    point = point.astype(np.uint16 if point.max() < 65536 else np.uint64)
-                    counts.append((low >> np.uint64(32)).astype(np.uint32).tobytes() + point.tobytes())
+                    small = np.uint8 if point.max() < 256 else np.uint16 if point.max() < 65536 else np.uint64
+                    counts.append(low.tobytes() + point.astype(small).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
@@ -102,13 +105,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    raw = raw[4 * KEYS :]
-    return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * GROUPS else np.uint64).astype(np.int32)
+    raw = raw[8 * KEYS :]
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // GROUPS}").astype(np.int32)
 
 
 def _names(raw: bytes) -> np.ndarray:
-    """32 bits of every bucket a point is in."""
-    return np.frombuffer(raw[: 4 * KEYS], dtype=np.uint32)
+    """The names of all buckets a point is in, by turn."""
+    return np.frombuffer(raw[: 8 * KEYS], dtype=np.uint64)
 
 
 class Tree:

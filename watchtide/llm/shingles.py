@@ -21,12 +21,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) so that a slice holds about RUN_BYTES, one text at least."""
+def runs(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) so that a slice holds about ``most`` bytes (RUN_BYTES), one text at least."""
+    most = RUN_BYTES if most is None else most
     sizes = np.nan_to_num(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
     start = 0
     while start < len(texts):
-        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), RUN_BYTES, side="right")))
+        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
         yield start, texts.slice(start, end - start)
         start = end
 
@@ -36,7 +37,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Words are what white space ``[\\x20\\x09-\\x0D]`` separates, A-Z in lower case.
     """
-    plain = pc.ascii_lower(texts.fill_null("").cast(pa.large_string()))
+    # Lower case first: Arrow's kernel misreads a slice that was cast to large strings.
+    plain = pc.ascii_lower(texts.fill_null("")).cast(pa.large_string())
     parts = pc.ascii_split_whitespace(plain)
     flat, ends = parts.values, parts.offsets.to_numpy()
     codes = flat.dictionary_encode()
