@@ -45,8 +45,10 @@ UNKNOWN = 10
 #: A score counts this much; what tells equal sums apart counts 1 to 4096.
 UNIT = 1 << 20
 NEVER = -(1 << 62)
-#: Words remembered by a task.
-REMEMBER = 1 << 20
+#: Bytes of words remembered by a task, of texts worked on together, and words of about one length.
+REMEMBER = 32 << 20
+RUN_BYTES = 4 << 20
+BLOCK = 16384
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -114,29 +116,52 @@ class Vocabulary:
     def best_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the best segmentations, concatenated, and how many each word has.
 
-        The same sums as ``best``, a position of all words at a time.
+        The same sums as ``best``. Words go in blocks of about one length, so that the tables
+        are small whatever the number of words.
         """
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
         easy = order[sizes[order] <= LONG_WORD]
-        length, start = sizes[easy], starts[easy]
-        top = int(length.max()) if len(easy) else 0
-        score = np.full((top + 1, len(easy)), NEVER, dtype=np.int64)
-        back = np.zeros((top + 1, len(easy)), dtype=np.int8)
-        piece = np.empty((top + 1, len(easy)), dtype=np.int32)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for at in range(0, len(easy), BLOCK):
+            block = easy[at : at + BLOCK]
+            own, ids, step = self._best_block(flat, starts[block], sizes[block])
+            found.append((block[own], ids, step))
+        owner, ids, step = (np.concatenate(x) for x in zip(*found, strict=True))
+        slow = np.flatnonzero(sizes > LONG_WORD)
+        if len(slow):
+            lists = [self.best(words[i])[1] for i in slow]
+            owner = np.concatenate([owner, np.repeat(slow, [len(x) for x in lists])])
+            ids = np.concatenate([ids, np.array([i for x in lists for i in x], np.int32)])
+            step = np.concatenate([step, np.array([k for x in lists for k in range(len(x) - 1, -1, -1)], np.int64)])
+        # Last pieces came first: count back from each word's end.
+        each = np.bincount(owner, minlength=len(words))
+        begin = np.concatenate([[0], np.cumsum(each)[:-1]])
+        placed = np.empty(len(ids), dtype=np.int32)
+        placed[begin[owner] + each[owner] - 1 - step] = ids
+        return self._spelled(placed, each, owner_of=np.repeat(np.arange(len(words)), each))
+
+    def _best_block(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, id, how many pieces from its end) for words given longest first, a position
+        of all words at a time."""
+        top = int(length[0])
+        score = np.full((top + 1, len(length)), NEVER, dtype=np.int64)
+        back = np.zeros((top + 1, len(length)), dtype=np.int8)
+        piece = np.empty((top + 1, len(length)), dtype=np.int32)
         score[0] = 0
-        prefix = np.zeros((top + 1, len(easy)), dtype=np.uint64)
+        prefix = np.zeros((top + 1, len(length)), dtype=np.uint64)
         powers = [np.uint64(1)]
         for _ in range(self.longest):
             powers.append(np.uint64(int(powers[-1]) * _BASE & (1 << 64) - 1))
         for p in range(1, top + 1):
             n = int(np.searchsorted(-length, -p, side="right"))  # the first n words reach p
-            prefix[p, :n] = prefix[p - 1, :n] * powers[1] + flat[start[:n] + p - 1] + np.uint64(1)
+            code = flat[start[:n] + p - 1]
+            prefix[p, :n] = prefix[p - 1, :n] * powers[1] + code.astype(np.uint64) + np.uint64(1)
             score[p, :n] = score[p - 1, :n] + self.unknown
             back[p, :n] = 1
-            piece[p, :n] = SPELLED + flat[start[:n] + p - 1].astype(np.int32)
+            piece[p, :n] = SPELLED + code.astype(np.int32)
             for size in range(min(p, self.longest), 0, -1):
                 h = prefix[p, :n] - prefix[p - size, :n] * powers[size]
                 h = _spread(h)
@@ -148,27 +173,13 @@ class Vocabulary:
                 better = total > score[p, at]
                 at, found = at[better], found[better]
                 score[p, at], back[p, at], piece[p, at] = total[better], size, self.ids[found]
-        columns, p, alive = [], length.copy(), np.arange(len(easy))
+        columns, p, alive = [], length.copy(), np.arange(len(length))
         while len(alive):
             alive = alive[p[alive] > 0]
-            got = piece[p[alive], alive]
-            columns.append((easy[alive], got))
+            columns.append((alive, piece[p[alive], alive]))
             p[alive] -= back[p[alive], alive]
-        owner = np.concatenate([c[0] for c in columns] or [np.zeros(0, np.int64)])
-        ids = np.concatenate([c[1] for c in columns] or [np.zeros(0, np.int32)])
-        step = np.concatenate([np.full(len(c[0]), k) for k, c in enumerate(columns)] or [np.zeros(0, np.int64)])
-        slow = np.flatnonzero(sizes > LONG_WORD)
-        if len(slow):
-            lists = [self.best(words[i])[1] for i in slow]
-            owner = np.concatenate([owner, np.repeat(slow, [len(x) for x in lists])])
-            ids = np.concatenate([ids, np.array([i for x in lists for i in x], np.int32)])
-            step = np.concatenate([step, np.array([k for x in lists for k in range(len(x) - 1, -1, -1)], np.int64)])
-        # Last pieces came first: count back from each word's end.
-        each = np.bincount(owner, minlength=len(words))
-        begin = np.concatenate([[0], np.cumsum(each)[:-1]])
-        placed = np.empty(len(ids), dtype=np.int32)
-        placed[begin[owner] + each[owner] - 1 - step] = ids
-        return self._spelled(placed, each, owner_of=np.repeat(np.arange(len(words)), each))
+        step = np.concatenate([np.full(len(c[0]), k, np.int64) for k, c in enumerate(columns)])
+        return np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]), step
 
     def _spelled(self, ids: np.ndarray, each: np.ndarray, owner_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters of several bytes become their bytes' ids."""
@@ -236,14 +247,17 @@ class Words:
     """Segmentations of words, remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.held = vocabulary, {}, 0
 
     def __call__(self, word: str) -> tuple[int, list[int]]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= REMEMBER:
+            found = self.vocabulary.best(word)
+            self.held += 250 + len(word) + 40 * len(found[1])
+            if self.held > REMEMBER:
                 self.known.clear()
-            found = self.known[word] = self.vocabulary.best(word)
+                self.held = 0
+            self.known[word] = found
         return found
 
 
@@ -342,7 +356,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in runs(batch.column(2)):
+            for first, texts in runs(batch.column(2), RUN_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(first, len(texts)) for c in batch.columns[:2]), _encode_short(texts, vocabulary)],
                     ["doc_id", "text_sha256", "ids"],
