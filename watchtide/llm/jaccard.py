@@ -5,7 +5,9 @@ counts per group are the text's point. The overlap of two sets is at most the su
 smaller coordinates, and of a set with anything inside a box at most the sum of the smaller
 of its coordinates and the box's upper corner. With sizes a and b, similarity s needs an
 overlap of s / (1 + s) * (a + b), so the tree discards boxes and points that cannot reach
-it, and the pairs left are verified on the full sets.
+it. Pairs of points are bounded once more by finer groups, about as many as a set has
+shingles (texts that share a passage have many coarse counts in common, but few fine
+ones), and the pairs left are verified on the full sets.
 
 Spreading the tree: texts with equal sets are one point. Every point goes to ``KEYS``
 buckets named by the smallest shingle hash under as many permutations. Two sets of
@@ -41,6 +43,8 @@ from watchtide.llm.shingles import mixed, runs, shingle_sets
 WIDTH = 5
 PERCENT = 75
 GROUPS = 128
+#: Finer groups of a set up to this size; twice as many for each doubling.
+FINE = 512
 KEYS = 24
 SPLIT = 20000
 LEAF = 32
@@ -50,7 +54,7 @@ BITMAPS = 256
 def _points(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, keys, counts per row.
 
-    ``counts``: the keys once more, then the counts of the groups, 1, 2 or 8 bytes each.
+    ``counts``: a byte for the width of a number, then the counts of the fine groups.
     """
     salts = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -69,9 +73,10 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
                     low = np.array([((shingles ^ s) * (s | np.uint64(1))).min() for s in salts])
                     low = mixed(low + salts)
                     keys.append(low.view(np.int64))
-                    point = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
-                    small = np.uint8 if point.max() < 256 else np.uint16 if point.max() < 65536 else np.uint64
-                    counts.append(low.tobytes() + point.astype(small).tobytes())
+                    bits = max(FINE, len(shingles) - 1).bit_length() - (len(shingles) <= FINE)
+                    point = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    small = 1 if point.max() < 256 else 2 if point.max() < 65536 else 4
+                    counts.append(bytes([small]) + point.astype(f"<u{small}").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
@@ -104,14 +109,42 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"node {kind}, shingles array<long>")
 
 
-def _vector(raw: bytes) -> np.ndarray:
-    raw = raw[8 * KEYS :]
-    return np.frombuffer(raw, dtype=f"<u{len(raw) // GROUPS}").astype(np.int32)
+def _fine(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
 
 
-def _names(raw: bytes) -> np.ndarray:
-    """The names of all buckets a point is in, by turn."""
-    return np.frombuffer(raw[: 8 * KEYS], dtype=np.uint64)
+def _vector(raw: bytes) -> np.ndarray:
+    """Fine counts summed to the coarse groups of the tree."""
+    return _fine(raw).reshape(GROUPS, -1).sum(axis=1, dtype=np.int64).astype(np.int32)
+
+
+class Fine:
+    """Fine counts of many points, those of one width as one table."""
+
+    def __init__(self, raws: list[bytes]):
+        rows = [_fine(raw) for raw in raws]
+        self.groups = np.array([len(r) for r in rows], dtype=np.int64)
+        self.size = np.array([r.sum(dtype=np.int64) for r in rows], dtype=np.int64)
+        self.place = np.zeros(len(rows), dtype=np.int64)
+        self.tables = {}
+        for g in np.unique(self.groups).tolist():
+            mine = np.flatnonzero(self.groups == g)
+            self.place[mine] = np.arange(len(mine))
+            self.tables[g] = np.stack([rows[k] for k in mine])
+
+    def possible(self, i: np.ndarray, other: Fine, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the summed minima of points ``i`` and the other's points ``j`` allow the similarity."""
+        good = np.zeros(len(i), dtype=bool)
+        for g in np.unique(self.groups[i]).tolist():
+            for h in np.unique(other.groups[j]).tolist():
+                at = np.flatnonzero((self.groups[i] == g) & (other.groups[j] == h))
+                for k in range(0, len(at), 1 << max(0, 22 - max(g, h).bit_length())):
+                    part = at[k : k + (1 << max(0, 22 - max(g, h).bit_length()))]
+                    x, y = self.tables[g][self.place[i[part]]], other.tables[h][other.place[j[part]]]
+                    x, y = (t if t.shape[1] == min(g, h) else t.reshape(len(part), min(g, h), -1).sum(axis=2) for t in (x, y))
+                    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                    good[part] = (100 + percent) * most >= percent * (self.size[i[part]] + other.size[j[part]])
+        return good
 
 
 class Tree:
@@ -200,22 +233,23 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of different components that a bucket's tree cannot rule out.
 
     ``buckets``: key, node, component, counts, turn (which of a point's keys, -1 if a second
-    one); a task gets whole keys, sorted by key.
+    one), keys; a task gets whole keys, sorted by key.
     """
 
     def pairs_of(table: pa.Table) -> Iterator[tuple[list, list]]:
         keys = table["key"].to_numpy()
         nodes, groups = table["node"].to_numpy(), table["component"].to_numpy()
         turns = table["turn"].to_numpy()
-        raws = table["counts"].to_pylist()
-        vectors, names = np.stack([_vector(raw) for raw in raws]), np.stack([_names(raw) for raw in raws])
+        names = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), KEYS)
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             if end - start < 2:
                 continue
             if (groups[start:end] == groups[start]).all():
                 continue
-            for i, j in Tree(vectors[start:end], groups[start:end]).join(percent):
+            raws = table["counts"].slice(start, end - start).to_pylist()
+            fine = Fine(raws)
+            for i, j in Tree(np.stack([_vector(raw) for raw in raws]), groups[start:end]).join(percent):
                 i, j = start + i, start + j
                 ok = groups[i] != groups[j]
                 i, j = i[ok], j[ok]
@@ -223,6 +257,8 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
                 first = (names[i] == names[j]).argmax(axis=1)
                 ok = (turns[i] < 0) | (first == turns[i])
                 i, j = i[ok], j[ok]
+                ok = fine.possible(i - start, fine, j - start, percent)
+                i, j = i[ok], j[ok]
                 if len(i):
                     yield np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
 
@@ -251,7 +287,7 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
             yield from flush(None)
 
     kind = buckets.schema["node"].dataType.simpleString()
-    return buckets.select("key", "node", "component", "counts", "turn").mapInArrow(run, f"a {kind}, b {kind}")
+    return buckets.select("key", "node", "component", "counts", "turn", "keys").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _maybe(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -287,14 +323,14 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, most: int) -> DataFrame:
-    """(node, component, counts, turn, key): rows of buckets that are too large, in smaller ones.
+    """(node, component, counts, turn, key, keys): rows of buckets that are too large, in smaller ones.
 
     ``rows``: node, component, counts, turn, key, keys. The key a bucket is named by does not
     divide it, so it is no second key. Two blocks of a bucket above ``most`` meet in a bucket.
     """
     others = F.filter("keys", lambda k, i: i != F.col("turn"))
     second = rows.select(
-        "node", "component", "counts", F.explode(F.transform(others, lambda k: F.xxhash64("key", k))).alias("key")
+        "node", "component", "counts", "keys", F.explode(F.transform(others, lambda k: F.xxhash64("key", k))).alias("key")
     )
     second = stored(second, "jaccard-split")
     second = second.join(_several(second), "key").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
@@ -302,7 +338,7 @@ def _split(rows: DataFrame, most: int) -> DataFrame:
     second = second.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     return second.select(
-        "node", "component", "counts", F.lit(-1).alias("turn"), F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key")
+        "node", "component", "counts", F.lit(-1).alias("turn"), F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key"), "keys"
     )
 
 
@@ -337,12 +373,12 @@ def near_duplicates(
     )
     rows = rows.join(label, "node")
     mixed_buckets = stored(_several(rows), "jaccard-buckets")
-    columns = ("node", "component", "counts", "turn", "key")
+    columns = ("node", "component", "counts", "turn", "key", "keys")
     small = mixed_buckets.filter(F.col("n") <= SPLIT)
     open_rows = rows.join(small, "key").join(nodes, "node").select(*columns)
     large = mixed_buckets.filter(F.col("n") > SPLIT)
     if not large.isEmpty():
-        open_rows = open_rows.union(_split(rows.join(large.select("key"), "key").join(nodes, "node").select(*columns, "keys"), SPLIT))
+        open_rows = open_rows.union(_split(rows.join(large.select("key"), "key").join(nodes, "node").select(*columns), SPLIT))
     candidates = _search(open_rows.repartition("key").sortWithinPartitions("key"), percent).distinct()
     second = stored(_verified(stored(candidates, "jaccard-second"), docs, width, percent), "jaccard-links")
     final = components(first.union(second), "jaccard-components")
@@ -356,15 +392,13 @@ def near_duplicates(
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed coordinate minima allow the similarity."""
+    """Pairs whose summed minima of fine counts allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([_vector(v) for v in batch.column(2).to_pylist()])
-                y = np.stack([_vector(v) for v in batch.column(3).to_pylist()])
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                keep = (100 + percent) * most >= percent * (x.sum(axis=1) + y.sum(axis=1))
+                at = np.arange(batch.num_rows)
+                keep = Fine(batch.column(2).to_pylist()).possible(at, Fine(batch.column(3).to_pylist()), at, percent)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
