@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchtide.llm import chat, exact, jaccard, licenses, mixing, pieces, pii, quality, suffix, toxicity
+from watchtide.llm import chat, exact, jaccard, langid, licenses, mixing, negatives, pieces, pii, quality, suffix, toxicity, trie
 from watchtide.llm.common import documents, prepare
 
 # The conversation every run adds.
@@ -183,8 +183,89 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from documents outside the held-out quarter."""
+    docs = documents(spark, folder)
+    found = langid.predict(docs, langid.fit(langid.sample(docs)))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    rows = prepare(spark).read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt to share first turns in groups of five ids."""
+    rows = prepare(spark).read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(*trie.rebuilt(rows))
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    CASE WHEN conv_id % 5 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [CAST(0 AS BIGINT) FOR i IN range(8)]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 END AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos + 1000000000, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+d AS (
+  SELECT conv_id, octet_length(encode(text)) AS bytes,
+    row_number() OVER w AS depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS prefix
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS total FROM d),
+m AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM e),
+n AS (
+  SELECT node AS conv_id, depth, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+p AS (
+  SELECT n.*, up.node AS parent_conv_id FROM n LEFT JOIN m up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(k.n_children, 0) AS n_children FROM p LEFT JOIN k USING (conv_id, depth))
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, f.ends_sha256,
+  CAST(sum(CAST(below.n_children = 0 AS INTEGER)) AS BIGINT) AS n_leaves,
+  CAST(sum((below.n_convs - 1) * below.bytes) AS BIGINT) AS saved_tokens
+FROM f JOIN m ON m.node = f.conv_id AND m.depth = f.depth JOIN f below ON below.conv_id = m.conv_id AND below.depth >= f.depth
+GROUP BY ALL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_jaccard, op3_quality, op4_licenses, op5_toxicity, op6_suffix, op7_mixing, op8_exact, op9_pieces, op10_pii)
+    for f in (op1_chat, op2_jaccard, op3_quality, op4_licenses, op5_toxicity, op6_suffix, op7_mixing, op8_exact, op9_pieces, op10_pii, op11_langid, op12_negatives, op13_trie)
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_quality": OP3_SQL, "op8_exact": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_quality": OP3_SQL, "op8_exact": OP8_SQL, "op12_negatives": OP12_SQL, "op13_trie": OP13_SQL}
