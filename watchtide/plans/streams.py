@@ -1,43 +1,71 @@
-"""Streaming twins of the batch queries: the tables are read as streams until drained."""
+"""Streaming twins of the batch queries, over files that arrive one after the other.
+
+A table is dealt by time into ``FILES`` files, read one per trigger; the last file has one
+row far in the future, which moves the watermark past all others.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchtide.operators import correlate
 from watchtide.plans import logs
 from watchtide.plans.detection import ALERTS, B, BINS, EWMA, GRID, W, ZS, HOUR, r
 from watchtide.plans.registry import ORACLES, SIG, SIGNAL_TYPES, Tables, query
-from watchtide.plans.rules import CORR, SCALE
+from watchtide.plans.rules import CORR, CORR_ALL, SCALE
 from watchtide.session import shared_dir
+from watchtide.sources import sinks
 from watchtide.streaming import streams
 
 DELAY = "1 hour"
+DELAY_SECONDS = 3600
+FILES = 4
+END = dt.datetime(2100, 1, 1)
+
+
+def _dealt(table: DataFrame, name: str, later: DataFrame | None = None, closed: bool = True) -> DataFrame:
+    """``table`` as a stream of files in the order of ``ts``. Rows of ``later`` come a file after
+    the rows of their time."""
+    spark = table.sparkSession
+    path = shared_dir(spark, name)
+    least, most = table.agg(F.min("ts"), F.max("ts")).first()
+    if least is not None:
+        step = (most - least) / FILES
+        cuts = [least + k * step for k in range(1, FILES)]
 
+        def part(rows: DataFrame, k: int) -> DataFrame:
+            rows = rows if k == 0 else rows.filter(F.col("ts") >= F.lit(cuts[k - 1]))
+            return rows if k == FILES - 1 else rows.filter(F.col("ts") < F.lit(cuts[k]))
 
-def _table(t: Tables):
-    # A pattern, so that a table that is one file and one that is a folder both stream.
-    return streams.file_stream(t.spark, f"{t.folder}/events.parque[t]", t.events.schema)
+        for k in range(FILES):
+            rows = part(table, k)
+            if later is not None and k:
+                rows = rows.unionByName(part(later, k - 1))
+            rows.coalesce(1).write.mode("append").parquet(path)
+    if closed or least is None:
+        _closing(table).write.mode("append").parquet(path)
+    return streams.file_stream(spark, path, table.schema, maxFilesPerTrigger=1)
 
 
-def _events(t: Tables):
-    """The events table as a stream, closed by one row far in the future.
+def _closing(table: DataFrame) -> DataFrame:
+    """A row at the end of time that belongs to nobody: -1 or "end" in every column."""
+    nobody = [
+        F.lit(END).cast(kind).alias(c) if c == "ts" else F.lit("end" if kind == "string" else -1).cast(kind).alias(c)
+        for c, kind in table.dtypes
+    ]
+    return table.sparkSession.range(1).select(*nobody).coalesce(1)
 
-    The last row moves the watermark past all others; it belongs to no organisation.
-    """
-    path = shared_dir(t.spark, "closing")
-    end = [(-1, dt.datetime(2100, 1, 1), -1, "end", 0.0, "{}")]
-    schema = t.events.schema
-    t.spark.createDataFrame(end, schema).coalesce(1).write.parquet(path)
-    live = _table(t)
-    return live.unionByName(streams.file_stream(t.spark, path, schema))
 
+def _events(t: Tables) -> DataFrame:
+    return _dealt(t.events, "events")
 
-def _sig(t: Tables):
+
+def _sig(t: Tables, events: DataFrame | None = None) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in SIGNAL_TYPES.items() for x in pair])
-    return _events(t).select(
+    events = _events(t) if events is None else events
+    return events.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_id") >= 0, F.col("user_id") % 4).otherwise(-1).alias("org"),
         F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("end")).alias("event_type"),
@@ -48,10 +76,9 @@ def _sig(t: Tables):
     )
 
 
-def _counts(t: Tables, *keys: str):
+def _counts(t: Tables, *keys: str) -> DataFrame:
     """Closed hourly bins: the first stage, drained to a table."""
-    stream = streams.bin_counts_stream(_sig(t), B, ["org", *keys], DELAY)
-    return streams.drain(stream, "bins")
+    return streams.drain(streams.bin_counts_stream(_sig(t), B, ["org", *keys], DELAY), "bins")
 
 
 @query("stream_bin_counts", ORACLES["bin_counts"])
@@ -59,22 +86,6 @@ def _(t):
     return _counts(t).select("org", "bin", "c")
 
 
-def _again(t: Tables, table, name: str):
-    """A drained table as the stream of the next stage, closed again."""
-    path = shared_dir(t.spark, name)
-    table.write.parquet(path)
-    end = t.spark.range(1).select(
-        *[
-            F.lit(dt.datetime(2101, 1, 1)).cast("timestamp").alias("ts")
-            if c == "ts"
-            else F.lit(-1 if kind != "string" else "end").cast(kind).alias(c)
-            for c, kind in table.dtypes
-        ]
-    )
-    end.coalesce(1).write.mode("append").parquet(path)
-    return streams.file_stream(t.spark, path, table.schema)
-
-
 @query(
     "stream_detector",
     f"""WITH RECURSIVE {SIG}, {BINS}, {GRID}, {ZS}, {EWMA}
@@ -82,7 +93,7 @@ def _again(t: Tables, table, name: str):
            round(ewma_z, 5) AS ewma_z FROM zs JOIN ewma ON ewma.org = zs.org AND ewma.bin = zs.bin""",
 )
 def _(t):
-    found = streams.drain(streams.detector_stream(_again(t, _counts(t), "bins"), W), "detector")
+    found = streams.drain(streams.detector_stream(_dealt(_counts(t), "bins"), W), "detector")
     found = found.filter("org >= 0")
     return found.select("org", "bin", "c", r("mean"), r("std"), r("z"), r("ewma_z", 5))
 
@@ -96,21 +107,16 @@ def _(t):
            round(-sum(n / t * log2(n / t)) + 0, 6) AS entropy FROM s GROUP BY 1, 2""",
 )
 def _(t):
-    counts = _again(t, _counts(t, "source"), "source-bins")
+    counts = _dealt(_counts(t, "source"), "source-bins")
     out = streams.drain(streams.rolling_stream(counts, f"{W * B} seconds", f"{B} seconds", delay=DELAY), "rolling")
     return out.filter("org >= 0").select(
         "org", "end_sec", "total", "distinct_values", F.round(F.col("entropy") + 0.0, 6).alias("entropy")
     )
 
 
-CORR_0 = CORR.split(", c1_w AS (")[0]
-
-
-@query("stream_correlate", f"WITH {SIG}, {CORR_0} SELECT * FROM c0")
+@query("stream_correlate", f"WITH {SIG}, {CORR} {CORR_ALL}")
 def _(t):
-    return streams.drain(
-        streams.correlate_stream(_sig(t), correlate.RULES[0], SCALE, delay=DELAY), "correlate"
-    )
+    return streams.drain(streams.correlate_stream(_sig(t), scale=SCALE, delay=DELAY), "correlate").filter("org >= 0")
 
 
 @query("stream_cooldown", ORACLES["alert_cooldown"])
@@ -152,16 +158,45 @@ def _(t):
     f"WITH {SIG}, {ALERTS} SELECT org, sec, count(DISTINCT sec) AS n FROM alerts GROUP BY 1, 2",
 )
 def _(t):
-    base = _sig(t).filter("value > 60").select("id", "org", "ts", F.expr("unix_seconds(ts)").alias("sec"))
-    copies = F.array(F.struct(F.col("id")), F.struct((F.col("id") + 100_000_000).alias("id")))
-    twice = base.select("org", "ts", "sec", F.inline(F.when(F.col("id") % 7 == 0, copies).otherwise(F.slice(copies, 1, 1))))
-    out = streams.drain(streams.dedup_stream(twice, delay=DELAY), "dedup")
+    # Copies of every seventh alert come with it and again in a later file.
+    again = F.col("event_id") % 7 == 0
+    copy = t.events.filter(again).withColumn("event_id", F.col("event_id") + 100_000_000)
+    events = _dealt(t.events.unionByName(copy), "alerts", later=copy.withColumn("event_id", F.col("event_id") * 2))
+    alerts = _sig(t, events).filter("value > 60 or id < 0").withColumn("sec", F.unix_seconds("ts"))
+    out = streams.drain(streams.dedup_stream(alerts, delay=DELAY), "dedup").filter("org >= 0")
     return out.groupBy("org", "sec").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_ingest", f"WITH {logs.PARSED} SELECT event_id, parser, event_type, true AS valid FROM full_ev")
+@query(
+    "stream_ingest",
+    f"""WITH {logs.PARSED}
+    SELECT event_id, parser, event_type, true AS valid, NULL AS reason FROM full_ev
+    UNION ALL SELECT event_id, NULL, NULL, false, CASE WHEN event_id % 32 = 7 THEN 'Empty payload.'
+      ELSE 'No parseable events found in payload.' END FROM lines WHERE event_id % 16 = 7""",
+)
+def _(t):
+    # Line 7 of 16 is no event; every other one of those is blank.
+    lines = logs.lines_of(_dealt(t.events, "lines", closed=False))
+    lines = lines.withColumn("line", F.when(F.col("event_id") % 32 == 7, F.lit("  ")).otherwise(F.col("line")))
+    path = shared_dir(t.spark, "ingest")
+    streams.ingest_stream(lines, path, F.timestamp_seconds(F.lit(logs.NOW_SEC)), F.lit(logs.YEAR), order="event_id")
+    events = t.spark.read.parquet(f"{path}/events").select("event_id", "parser", "event_type", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"))
+    refused = t.spark.read.parquet(f"{path}/quarantine")
+    return events.unionByName(
+        refused.select("event_id", "parser", F.lit(None).cast("string").alias("event_type"), F.lit(False).alias("valid"), "reason")
+    )
+
+
+KEEP_SECONDS = 5 * 86_400
+
+
+@query(
+    "stream_retention",
+    "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR - INTERVAL 5 DAY",
+)
 def _(t):
-    lines = logs.lines_of(_table(t))
-    found = streams.ingest_stream(lines, F.timestamp_seconds(F.lit(logs.NOW_SEC)), F.lit(logs.YEAR))
-    stored = streams.drain(found.drop("raw_data"), "ingest", ["valid"])
-    return stored.select("event_id", "parser", "event_type", "valid")
+    path = shared_dir(t.spark, "retained")
+    events = _dealt(t.events, "to-keep", closed=False)
+    streams.retention_stream(events, path, KEEP_SECONDS, DELAY_SECONDS)
+    since = sinks.cutoff(t.spark, path, KEEP_SECONDS + DELAY_SECONDS)
+    return sinks.stored_events(t.spark, path, since).select("event_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns each export has, in order, with their headings.
@@ -136,7 +137,7 @@ def upsert_points(
 
 def prune(df: DataFrame, ts: str, now: Column, seconds: int) -> DataFrame:
     """Rows still inside their retention; the bare column keeps the comparison pushable."""
-    return df.filter(F.col(ts) >= now - F.make_dt_interval(secs=F.lit(seconds)))
+    return df.filter(F.col(ts) >= (now - F.make_dt_interval(secs=F.lit(seconds))).cast(df.schema[ts].dataType))
 
 
 def delete_by_payload(df: DataFrame, column: str, value) -> DataFrame:
@@ -149,3 +150,69 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *partitions
     ).parquet(path)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write a folder anew."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def store_batch(df: DataFrame, path: str, batch: int, ts: str = "ts") -> None:
+    """Store a batch of events, one folder per day and batch; a repeated batch replaces its folders."""
+    dated = df.withColumns({"event_date": F.to_date(ts), "batch": F.lit(batch).cast("long")})
+    write_partitions(dated.filter(F.col("event_date").isNotNull()), path, ["event_date", "batch"])
+
+
+def _days(spark: SparkSession, path: str) -> dict[str, list]:
+    """The stored days and the paths of their batches, from folder names."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*/batch=*")
+    found: dict[str, list] = {}
+    for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        found.setdefault(status.getPath().getParent().getName().split("=")[1], []).append(status.getPath())
+    return found
+
+
+def stored_events(spark: SparkSession, path: str, since: dt.datetime | None = None, ts: str = "ts") -> DataFrame:
+    """Stored events, or those from ``since`` on: folders of earlier days are not read."""
+    rows = spark.read.parquet(path)
+    if since is None:
+        return rows
+    return rows.filter((F.col("event_date") >= F.lit(since.date())) & (F.col(ts) >= _at(rows, ts, since)))
+
+
+def _at(rows: DataFrame, ts: str, time: dt.datetime) -> Column:
+    """A time as a literal of the column's type, so that the comparison can be pushed down."""
+    return F.lit(time).cast(rows.schema[ts].dataType)
+
+
+def cutoff(spark: SparkSession, path: str, seconds: int, ts: str = "ts") -> dt.datetime | None:
+    """The newest stored time less ``seconds``, from the newest day's folder."""
+    days = _days(spark, path)
+    if not days:
+        return None
+    newest = spark.read.parquet(path).filter(F.col("event_date") == F.lit(max(days)).cast("date")).agg(F.max(ts)).first()[0]
+    return newest - dt.timedelta(seconds=seconds)
+
+
+def drop_expired(spark: SparkSession, path: str, before: dt.datetime, ts: str = "ts") -> None:
+    """Delete events older than ``before``.
+
+    Days that are over go as folders, unread. Of the day the cutoff lies in, batches that
+    still hold rows are rewritten, the others go, too.
+    """
+    day = before.date().isoformat()
+    rows = spark.read.parquet(path).filter(F.col("event_date") == F.lit(day).cast("date"))
+    bound, gone = _at(rows, ts, before), []
+    for date, batches in _days(spark, path).items():
+        if date < day:
+            gone += batches
+        elif date == day:
+            spans = rows.groupBy("batch").agg((F.min(ts) < bound).alias("cut"), (F.max(ts) >= bound).alias("left")).collect()
+            cut = [r.batch for r in spans if r.cut and r.left]
+            if cut:
+                write_partitions(rows.filter((F.col(ts) >= bound) & F.col("batch").isin(cut)), path, ["event_date", "batch"])
+            over = {f"batch={r.batch}" for r in spans if not r.left}
+            gone += [b for b in batches if b.getName() in over]
+    for folder in gone:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,20 +1,19 @@
 """The detectors, rules and folds on Structured Streaming.
 
 Counts leave Spark's own windowed aggregation first, so per-key state sees one row per key
-and bin instead of every event. Folds over single events buffer a key's rows until the
-watermark passes them and then run in event time, so late rows within the watermark change
-nothing and results equal the batch operators.
+and bin instead of every event. Folds over single events keep a key's rows until the
+watermark passes them and then run in event time (``keyed``), so late rows within the
+watermark change nothing and results equal the batch operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from watchtide.operators import correlate as rules
 from watchtide.operators import normalize
@@ -22,10 +21,39 @@ from watchtide.operators.folds import COOLDOWN_SECONDS, EWMA_ALPHA, EWMA_RANGE,
 from watchtide.operators.folds import RATE_WINDOW_SECONDS
 from watchtide.operators.series import MIN_STD, WINDOW_BINS
 from watchtide.session import shared_dir
+from watchtide.sources import sinks
+from watchtide.streaming import keyed
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 MICROS = 1_000_000
-# Fixed value: seconds correlation state outlives its last signal.
+# Seconds correlation state outlives its last signal; why a line is refused.
 CORRELATION_TTL = 30 * 60
+EMPTY_LINE = "Empty payload."
+NO_EVENTS = "No parseable events found in payload."
+
+
+def start(writer: DataStreamWriter, spark: SparkSession, path: str | None = None) -> StreamingQuery:
+    """Start a stream with the state store that timers and several states of a key need.
+
+    A query keeps the settings it was started with; the session's are left as they were.
+    """
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, keyed.PROVIDER)
+    try:
+        return writer.start(path) if path else writer.start()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Hand all micro-batches there are to ``write(batch, batch id)``.
+
+    A batch that fails half way comes again with its id, so ``write`` must replace what it
+    wrote for that id.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", shared_dir(spark, f"{name}-state"))
+    start(writer.trigger(availableNow=True), spark).awaitTermination()
 
 
 def drain(stream: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -35,8 +63,7 @@ def drain(stream: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Dat
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.outputMode("append").trigger(availableNow=True).start(out)
-    query.awaitTermination()
+    start(writer.outputMode("append").trigger(availableNow=True), spark, out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -75,11 +102,10 @@ def detector_stream(
     """z against the zero-filled window before a bin, and EWMA z, as closed bins arrive.
 
     Input are the closed bins of ``bin_counts_stream``, in order and one row per key and
-    bin. State is one window of counts and two moments per key.
+    bin. State is a queue of one window of counts with its sums, and two moments per key.
     """
     keys = list(keys)
     alpha = min(max(alpha, EWMA_RANGE[0]), EWMA_RANGE[1])
-    r = 1.0 - alpha
     out = _merge(
         [counts.schema[k] for k in keys],
         {
@@ -91,44 +117,8 @@ def detector_stream(
             "ewma_z": T.DoubleType(),
         },
     )
-    memo = "last bigint, bins array<bigint>, counts array<bigint>, m double, v double"
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("bin")
-        if state.exists:
-            last, bins, counts_, m, v = state.get
-            bins, counts_ = list(bins), list(counts_)
-        else:
-            last, bins, counts_, m, v = None, [], [], 0.0, 0.0
-        result = []
-        for b, c in zip(rows["bin"].tolist(), rows["c"].tolist()):
-            keep = [i for i, x in enumerate(bins) if x >= b - window]
-            bins, counts_ = [bins[i] for i in keep], [counts_[i] for i in keep]
-            s, q = sum(counts_), sum(x * x for x in counts_)
-            spread = window * q - s * s
-            mean, std = s / window, (spread / (window * (window - 1))) ** 0.5
-            z = (c - mean) / std if spread > 0 else 0.0
-            if last is None:
-                m, v, ew = float(c), 0.0, 0.0
-            else:
-                gap = b - last - 1
-                if gap > 0:
-                    # Closed form of ``gap`` bins without events.
-                    p = r**gap
-                    v = p * v + m * m * p * (1.0 - p)
-                    m = p * m
-                d = c - m
-                m, v = alpha * c + r * m, r * (v + alpha * d * d)
-                sd = v**0.5
-                ew = (c - m) / sd if sd > MIN_STD else 0.0
-            last = b
-            bins.append(b)
-            counts_.append(c)
-            result.append((*key, b, c, mean, std, z, ew))
-        state.update((last, bins, counts_, m, v))
-        yield pd.DataFrame(result, columns=out.names)
-
-    return counts.groupBy(*keys).applyInPandasWithState(run, out, memo, "append", "NoTimeout")
+    processor = keyed.DetectorProcessor(out.names, window, alpha, MIN_STD)
+    return counts.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "None")
 
 
 def rolling_stream(
@@ -160,15 +150,12 @@ def rolling_stream(
     )
 
 
-Step = Callable[[list, int, int, int], tuple[list, tuple | None]]
-
-
 def ordered_fold(
     events: DataFrame,
     keys: Sequence[str],
     value: Column,
     outputs: dict[str, T.DataType],
-    step: Step,
+    step: keyed.Step,
     delay: str = "10 seconds",
     ttl: int | None = None,
     ts: str = "ts",
@@ -176,53 +163,26 @@ def ordered_fold(
 ) -> DataFrame:
     """Run ``step(memo, time, id, value)`` over each key's rows in event time.
 
-    Rows wait in state until the watermark reaches them. ``memo`` is a list of whole
-    numbers; with ``ttl`` a key without news for that many seconds is forgotten.
+    Rows wait in a list state until the watermark reaches them, which a timer tells. ``memo``
+    is a list of whole numbers; with ``ttl`` a key without news for that many seconds is forgotten.
+    """
+    rows, out = _ordered(events, keys, value, outputs, delay, ts, order)
+    processor = keyed.FoldProcessor(out.names, ttl, step)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def _ordered(
+    events: DataFrame, keys: Sequence[str], value: Column, outputs: dict[str, T.DataType], delay: str, ts: str, order: str
+) -> tuple[DataFrame, T.StructType]:
+    """The rows an ordered processor reads, and the schema of what it makes.
+
+    Names that begin with an underscore do not reach a stateful processor.
     """
-    keys = list(keys)
     rows = events.withWatermark(ts, delay).select(
-        *keys, ts, F.unix_micros(ts).alias("_us"), F.col(order).cast("long").alias("_id"),
-        value.cast("long").alias("_v"),
-    )
-    out = _merge(
-        [events.schema[k] for k in keys], {order: T.LongType(), "us": T.LongType(), **outputs}
-    )
-    memory = "us array<bigint>, id array<bigint>, v array<bigint>, memo array<bigint>, seen bigint"
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            us, ids, vs, memo, seen = (list(x) if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get)
-        else:
-            us, ids, vs, memo, seen = [], [], [], [], 0
-        for pdf in frames:
-            us += pdf["_us"].tolist()
-            ids += pdf["_id"].tolist()
-            vs += pdf["_v"].tolist()
-        mark = state.getCurrentWatermarkMs()
-        todo = sorted(zip(us, ids, vs))
-        ready = [x for x in todo if x[0] <= mark * 1000]
-        rest = todo[len(ready) :]
-        result = []
-        for t, i, v in ready:
-            memo, made = step(memo, t, i, v)
-            seen = max(seen, t)
-            if made is not None:
-                result.append((*key, i, t, *made))
-        us, ids, vs = ([x[j] for x in rest] for j in range(3))
-        expired = ttl is not None and not rest and seen // 1000 + ttl * 1000 <= mark
-        if expired:
-            state.remove()
-        else:
-            state.update((us, ids, vs, memo, seen))
-            if rest:
-                state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, mark + 1))
-            elif ttl is not None:
-                state.setTimeoutTimestamp(max(seen // 1000 + ttl * 1000, mark + 1))
-        yield pd.DataFrame(result, columns=out.names)
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        run, out, memory, "append", "EventTimeTimeout"
+        *keys, ts, F.unix_micros(ts).alias("row_us"), F.col(order).cast("long").alias("row_id"),
+        value.cast("long").alias("row_value"),
     )
+    return rows, _merge([events.schema[k] for k in keys], {order: T.LongType(), "us": T.LongType(), **outputs})
 
 
 def cooldown_stream(
@@ -297,39 +257,46 @@ def service_health_stream(
 
 
 def correlate_stream(
-    signals: DataFrame, rule: rules.Rule, scale: int = 1, org: str = "org", **kwargs
+    signals: DataFrame,
+    rule_set: Sequence[rules.Rule] = rules.RULES,
+    scale: int = 1,
+    org: str = "org",
+    delay: str = "10 seconds",
+    ts: str = "ts",
+    order: str = "id",
 ) -> DataFrame:
-    """Incidents of one rule as signals arrive, one per run of matching signals."""
-    span = rule.span(scale)
-    bits = F.lit(0)
-    for i, stage in enumerate(rule.stages):
-        bits = bits + F.when(stage.matches(), 1 << i).otherwise(0)
-    need = [s.at_least for s in rule.stages]
-
-    def step(memo, t, i, v):
-        was, last = (memo[0], memo[1]) if memo else (0, 0)
-        recent = [(memo[j], memo[j + 1]) for j in range(2, len(memo), 2) if memo[j] >= t - span]
-        recent.append((t, v))
-        hit = all(sum(x >> k & 1 for _, x in recent) >= n for k, n in enumerate(need))
-        fresh = hit and not (was and t - last <= span)
-        made = (len(recent), sum(x > 0 for _, x in recent), recent[0][0]) if fresh else None
-        return [int(hit), t, *[x for pair in recent for x in pair]], made
+    """Incidents of all rules as signals arrive, one per run of matching signals.
 
-    outputs = {
-        "window_events": T.LongType(),
-        "matched_events": T.LongType(),
-        "first_seen": T.LongType(),
-    }
-    rows = rules._entity_rows(signals, rule.entity)
-    found = ordered_fold(
-        rows, [org, "entity_id"], bits, outputs, step, ttl=max(CORRELATION_TTL, span // MICROS), **kwargs
-    )
+    A signal is sent once to each kind of entity it names; all rules of a kind are folded
+    together (``keyed.RulesProcessor``).
+    """
+    kinds: dict[str, list[rules.Rule]] = {}
+    for rule in rule_set:
+        kinds.setdefault(rule.entity, []).append(rule)
+    entities, plans = [], {}
+    for kind, members in kinds.items():
+        bits, at = F.lit(0).cast("long"), 0
+        plans[kind] = []
+        for rule in members:
+            plans[kind].append((rule.id, rule.span(scale), tuple(s.at_least for s in rule.stages), at))
+            for stage in rule.stages:
+                bits, at = bits + F.when(stage.matches(), 1 << at).otherwise(0), at + 1
+        named = F.col(kind).isNotNull() & (F.col(kind) != "")
+        entities.append(F.when(named, F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("entity_id"), bits.alias("bits"))))
+    rows = signals.select(org, order, ts, F.explode(F.array_compact(F.array(*entities))).alias("e")).select(org, order, ts, "e.*")
+    keys = [org, "kind", "entity_id"]
+    long = T.LongType()
+    outputs = {"rule_id": T.StringType(), "window_events": long, "matched_events": long, "first_seen": long}
+    rows, out = _ordered(rows, keys, F.col("bits"), outputs, delay, ts, order)
+    ttl = max(CORRELATION_TTL, *[-(-rule.span(scale) // MICROS) for rule in rule_set])
+    found = rows.groupBy(*keys).transformWithStateInPandas(keyed.RulesProcessor(out.names, ttl, plans), out, "Append", "EventTime")
+    severity = F.create_map(*[F.lit(x) for rule in rule_set for x in (rule.id, rule.severity)])
     return found.select(
         org,
-        F.lit(rule.id).alias("rule_id"),
-        F.lit(rule.severity).alias("severity"),
+        "rule_id",
+        severity[F.col("rule_id")].alias("severity"),
         "entity_id",
-        F.col("id").alias("trigger_id"),
+        F.col(order).alias("trigger_id"),
         "window_events",
         "matched_events",
         "first_seen",
@@ -337,12 +304,48 @@ def correlate_stream(
     )
 
 
-def ingest_stream(lines: DataFrame, now: Column, year: Column, column: str = "line") -> DataFrame:
-    """Normalised events with what is wrong with each; write partitioned by ``valid``."""
-    events = normalize.normalize_logs(lines, now, year, column=column)
-    epoch = (F.unix_micros("ts") / MICROS).alias("timestamp")
-    checked = normalize.validate_schema(events.select("*", epoch))
-    return checked.withColumn("valid", F.size("errors") == 0)
+def ingest_stream(
+    lines: DataFrame, path: str, now: Column, year: Column, order: str = "id", column: str = "line", name: str = "ingest"
+) -> None:
+    """Normalise and validate lines as they come: events to ``path/events``, the rest to ``path/quarantine``.
+
+    Quarantined are events that break the schema, with what is wrong, and lines no event
+    came from. Both places have a folder per micro-batch, which a repeated batch replaces, so
+    that every line is there once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        events = normalize.normalize_logs(batch, now, year, column=column)
+        epoch = (F.unix_micros("ts") / MICROS).alias("timestamp")
+        checked = normalize.validate_schema(events.select("*", epoch)).drop("raw_data")
+        sinks.replace(checked, f"{path}/checked/batch={number}")
+        found = spark.read.schema(checked.schema).parquet(f"{path}/checked/batch={number}")
+        sinks.replace(found.filter(F.size("errors") == 0).drop("errors"), f"{path}/events/batch={number}")
+        broken = found.filter(F.size("errors") > 0).select(order, "parser", F.array_join("errors", "; ").alias("reason"))
+        silent = batch.join(found.select(order), order, "left_anti").select(
+            order, F.lit(None).cast("string").alias("parser"), F.when(_blank(column), EMPTY_LINE).otherwise(NO_EVENTS).alias("reason")
+        )
+        sinks.replace(broken.unionByName(silent), f"{path}/quarantine/batch={number}")
+
+    each_batch(lines, name, write)
+
+
+def _blank(column: str) -> Column:
+    return F.coalesce(F.trim(F.col(column)) == "", F.lit(True))
+
+
+def retention_stream(events: DataFrame, path: str, keep: int, delay: int, ts: str = "ts", name: str = "retention") -> None:
+    """Store events by day and drop, after every micro-batch, what is ``keep`` seconds behind
+    the watermark (the newest time stored less ``delay`` seconds)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.store_batch(batch, path, number, ts)
+        cutoff = sinks.cutoff(batch.sparkSession, path, keep + delay, ts)
+        if cutoff is not None:
+            sinks.drop_expired(batch.sparkSession, path, cutoff, ts)
+
+    each_batch(events, name, write)
 
 
 def dedup_stream(
