@@ -26,6 +26,8 @@ COOLDOWN_SECONDS = 10
 RATE_WINDOW_SECONDS = 3600
 MICROS = 1_000_000
 EWMA_SLICE = 2048
+#: Length of a slice of greedy anchors, in gaps.
+SLICE_GAPS = 16
 
 
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -39,92 +41,117 @@ def _schema(df: DataFrame, keys: Sequence[str], **fields: T.DataType) -> T.Struc
 
 
 def ewma(
-    dense: DataFrame,
+    series: DataFrame,
     alpha: float = EWMA_ALPHA,
     keys: Sequence[str] = ("org",),
     value: str = "c",
     t: str = "bin",
     length: int = EWMA_SLICE,
+    fill: bool = False,
 ) -> DataFrame:
-    """Exponentially weighted mean, deviation and z of a dense series.
+    """Exponentially weighted mean, deviation and z of a series whose missing bins are 0.
 
-    Mean and variance after a slice are linear and quadratic in the mean that enters it,
-    so six numbers per slice say what it does to any state.
+    Only bins that exist are looked at; a gap is a power of what a bin leaves. Mean and
+    variance after a slice are linear and quadratic in the mean that enters it, so a few
+    numbers per slice say what it does to any state. They are kept relative to the slice's
+    first value, so that large counts lose no digits. ``fill`` adds the rows of missing
+    bins, each from the bin before its gap.
     """
     a = min(max(alpha, EWMA_RANGE[0]), EWMA_RANGE[1])
     r = 1.0 - a
     keys = list(keys)
-    rows = dense.select(
-        *keys,
-        slices.slice_of(F.col(t), length).alias("_s"),
-        F.col(t).alias("_t"),
-        F.col(value).cast("double").alias("_x"),
-    )
+    point = F.struct(F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
+    parts = series.groupBy(*keys, slices.slice_of(F.col(t), length).alias("_s")).agg(F.array_sort(F.collect_list(point)).alias("xs"))
+
+    first, last = F.element_at("xs", 1), F.element_at("xs", -1)
+    x0 = first["x"]
 
     def step(acc: Column, e: Column) -> Column:
-        d = e["_x"] - acc["b"]
+        # The bins of 0 before this one leave ``left`` of mean and deviation; then its own value.
+        left, u = e["left"], acc["b"] + x0
+        lost = left * (1.0 - left)
+        p, b = acc["p"] * left, acc["b"] * left - x0 * (1.0 - left)
+        d = e["x"] - x0 - b
         return F.struct(
-            (acc["p"] * r).alias("p"),
-            (acc["b"] * r + e["_x"] * a).alias("b"),
-            ((acc["v"] + a * d * d) * r).alias("v"),
-            ((acc["q"] - 2 * a * d * acc["p"]) * r).alias("q"),
-            ((acc["w"] + a * acc["p"] * acc["p"]) * r).alias("w"),
+            (p * r).alias("p"),
+            (b * r + (e["x"] - x0) * a).alias("b"),
+            ((acc["v"] * left + u * u * lost + a * d * d) * r).alias("v"),
+            ((acc["q"] * left + 2 * u * acc["p"] * lost - 2 * a * d * p) * r).alias("q"),
+            ((acc["w"] * left + acc["p"] * acc["p"] * lost + a * p * p) * r).alias("w"),
         )
 
-    start = F.struct(
-        F.lit(1.0).alias("p"),
-        F.lit(0.0).alias("b"),
-        F.lit(0.0).alias("v"),
-        F.lit(0.0).alias("q"),
-        F.lit(0.0).alias("w"),
-    )
-    summaries = (
-        rows.groupBy(*keys, "_s")
-        .agg(F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("xs"))
-        .select(
-            *keys,
-            "_s",
-            F.element_at("xs", 1)["_x"].alias("x0"),
-            F.aggregate("xs", start, step).alias("f"),
-        )
-        .select(*keys, "_s", "x0", "f.*")
-    )
+    def gapped(e: Column, i: Column) -> Column:
+        gap = F.when(i > 0, e["t"] - F.element_at("xs", i)["t"] - 1).otherwise(0)
+        return F.struct(e["x"].alias("x"), F.pow(F.lit(r), gap).alias("left"))
+
+    start = F.struct(*[F.lit(float(n == "p")).alias(n) for n in "pbvqw"])
+    summaries = parts.select(
+        *keys, "_s", first["t"].alias("first"), last["t"].alias("last"), x0.alias("x0"),
+        F.aggregate(F.transform("xs", gapped), start, step).alias("f"),
+    ).select(*keys, "_s", "first", "last", "x0", "f.*")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_s")
-        m, v = float(pdf["x0"].iloc[0]), 0.0
+        m, v, end = float(pdf["x0"].iloc[0]), 0.0, int(pdf["first"].iloc[0]) - 1
         m_in, v_in = np.empty(len(pdf)), np.empty(len(pdf))
-        for i, (p, b, v0, q, w) in enumerate(pdf[["p", "b", "v", "q", "w"]].to_numpy()):
+        columns = zip(*(pdf[c].tolist() for c in ("first", "last", "x0", "p", "b", "v", "q", "w")), strict=True)
+        for i, (begin, last, x0, p, b, v0, q, w) in enumerate(columns):
+            left = r ** (begin - end - 1)
+            m, v, end = m * left, v * left + m * m * left * (1.0 - left), last
             m_in[i], v_in[i] = m, v
-            m, v = p * m + b, p * v + v0 + q * m + w * m * m
+            d = m - x0
+            m, v = x0 + (p * d + b), p * v + v0 + q * d + w * d * d
         return pdf[[*keys, "_s"]].assign(m_in=m_in, v_in=v_in)
 
     entering = summaries.groupBy(*keys).applyInPandas(
-        chain, _schema(dense, keys, _s=T.LongType(), m_in=T.DoubleType(), v_in=T.DoubleType())
+        chain, _schema(series, keys, _s=T.LongType(), m_in=T.DoubleType(), v_in=T.DoubleType())
     )
+    double = T.DoubleType()
+    schema = _schema(series, keys, **{t: T.LongType(), value: double}, ewma_mean=double, ewma_std=double, ewma_z=double)
+    out = [f.name for f in schema]
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        xs = pdf["_x"].to_numpy()
-        m, v = float(pdf["m_in"].iloc[0]), float(pdf["v_in"].iloc[0])
-        means, stds = np.empty(len(xs)), np.empty(len(xs))
-        for i, x in enumerate(xs):
-            d = x - m
-            m, v = a * x + r * m, r * (v + a * d * d)
-            means[i], stds[i] = m, np.sqrt(max(v, 0.0))
-        z = np.where(stds > MIN_STD, (xs - means) / np.where(stds > MIN_STD, stds, 1.0), 0.0)
-        out = pdf[[*keys, "_t", "_x"]].rename(columns={"_t": t, "_x": value})
-        return out.assign(ewma_mean=means, ewma_std=stds, ewma_z=z)
-
-    schema = _schema(
-        dense,
-        keys,
-        **{t: T.LongType(), value: T.DoubleType()},
-        ewma_mean=T.DoubleType(),
-        ewma_std=T.DoubleType(),
-        ewma_z=T.DoubleType(),
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for row in pdf.itertuples(index=False, name=None):
+                key, (xs, m, v) = row[: len(keys)], row[len(keys) :]
+                last = None
+                for e in xs:
+                    at, x = e["t"], e["x"]
+                    gap = 0 if last is None else at - last - 1
+                    if gap:
+                        left = r**gap
+                        m, v = m * left, v * left + m * m * left * (1.0 - left)
+                    d = x - m
+                    m, v, last = a * x + r * m, r * (v + a * d * d), at
+                    std = v**0.5 if v > 0 else 0.0
+                    made.append((*key, at, x, m, std, (x - m) / std if std > MIN_STD else 0.0))
+            yield pd.DataFrame(made, columns=out)
+
+    found = parts.join(entering, [*keys, "_s"]).select(*keys, "xs", "m_in", "v_in").mapInPandas(finish, schema)
+    if not fill:
+        return found
+    # Of a gap: all bins up to the next one that exists; a row of the next slice may follow.
+    n = slices.slice_of(F.col(t), length)
+    firsts = parts.select(*keys, "_s", first["t"].alias("_first"))
+    after = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_s"))).drop("_first")
+    inside = Window.partitionBy(*keys, "_s").orderBy(t)
+    rows = found.withColumn("_s", n).join(after, [*keys, "_s"])
+    until = F.coalesce(F.lead(t).over(inside), F.col("_next"), F.col(t) + 1)
+    rows = rows.withColumn("_until", until)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_until") - F.col(t) - 1)))
+    left = F.pow(F.lit(r), F.col("_k"))
+    mean = F.col("ewma_mean") * left
+    std = F.sqrt(F.col("ewma_std") * F.col("ewma_std") * left + F.col("ewma_mean") * F.col("ewma_mean") * left * (1.0 - left))
+    own = F.col("_k") == 0
+    return rows.select(
+        *keys,
+        (F.col(t) + F.col("_k")).alias(t),
+        F.when(own, F.col(value)).otherwise(0.0).alias(value),
+        mean.alias("ewma_mean"),
+        F.when(own, F.col("ewma_std")).otherwise(std).alias("ewma_std"),
+        F.when(own, F.col("ewma_z")).otherwise(F.when(std > MIN_STD, -mean / std).otherwise(0.0)).alias("ewma_z"),
     )
-    return rows.join(entering, [*keys, "_s"]).groupBy(*keys, "_s").applyInPandas(finish, schema)
 
 
 def _jumps(ts: np.ndarray, first: int, gap: int) -> list[int]:
@@ -144,11 +171,12 @@ def anchors(
     The first time is an anchor; the next is the first time more than ``gap`` after the
     last. Greedy cooldowns and windows that open at their first event both work this way.
 
-    A slice of ``length`` sends the times in its first ``gap`` to the chaining step, so with
-    the default a task sees about a hundredth of a key either way.
+    What a slice of ``length`` does is a step function: the time it is entered at (within its
+    first ``gap``) to its last anchor. Ways through a slice meet, so only the break points
+    of that function go to the chaining step, far fewer than the times in the first ``gap``.
     """
     keys = list(keys)
-    n = length or 96 * gap
+    n = length or SLICE_GAPS * gap
     if n < gap:
         raise ValueError("a slice must be at least as long as the gap")
     rows = times.select(
@@ -158,13 +186,14 @@ def anchors(
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf["_t"].to_numpy())
         nxt = np.searchsorted(ts, ts + gap, side="right")
-        last = np.arange(len(ts))
-        for i in range(len(ts) - 1, -1, -1):
-            if nxt[i] < len(ts):
-                last[i] = last[nxt[i]]
+        last = np.where(nxt < len(ts), nxt, np.arange(len(ts)))
+        while (last[last] != last).any():  # jump twice as far each time
+            last = last[last]
         start = int(pdf["_s"].iloc[0]) * n
         entries = min(int(np.searchsorted(ts, start + gap, side="left")) + 1, len(ts))
-        out = pd.DataFrame({"entry": ts[:entries], "exit": ts[last[:entries]]})
+        leave = last[:entries]
+        steps = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))  # the last entry of each exit
+        out = pd.DataFrame({"entry": ts[steps], "exit": ts[leave[steps]]})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out.assign(_s=int(pdf["_s"].iloc[0]))[[*keys, "_s", "entry", "exit"]]
@@ -183,7 +212,7 @@ def anchors(
             entry, leave = part["entry"].to_numpy(), part["exit"].to_numpy()
             i = 0 if last is None else int(np.searchsorted(entry, last + gap, side="right"))
             if i < len(entry):
-                last = int(leave[i])
+                last = int(leave[i])  # entered at the first time after the gap, up to this break point
         out = pd.DataFrame({"_s": found, "anchor_in": anchor_in, "has_in": [False] + [True] * (len(found) - 1)})
         for k in keys:
             out[k] = pdf[k].iloc[0]
@@ -248,6 +277,23 @@ def hourly_rate_limit(
     return out.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
+def _admit(sizes: np.ndarray, room: int, taken: np.ndarray) -> int:
+    """Mark what is accepted in order, and return its sum.
+
+    Whatever exceeds the room once never fits again, so each turn takes all that fits up to
+    the first that does not, and goes on with the rest of the sizes that still can.
+    """
+    total, left = 0, np.flatnonzero(sizes <= room)
+    while len(left):
+        sums = np.cumsum(sizes[left])
+        n = int(np.searchsorted(sums, room - total, side="right"))
+        taken[left[:n]] = True
+        total += int(sums[n - 1]) if n else 0
+        left = left[n:]
+        left = left[sizes[left] <= room - total]
+    return total
+
+
 def quota_admission(
     batches: DataFrame,
     limit: int | None,
@@ -262,7 +308,7 @@ def quota_admission(
     Room only shrinks, so of one size only the first ``limit // size`` batches of a day can
     be accepted: had a later one fitted, all earlier ones had too, and together they exceed
     the limit. Those are found by counting per slice, whatever the number of batches, and
-    only they are walked in order, with one running total and no group in memory.
+    only they are gone through in order, runs at a time, with one running total and no group in memory.
     """
     if limit is None:
         return batches.withColumn("accepted", F.lit(True))
@@ -286,14 +332,15 @@ def quota_admission(
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, used = None, 0
         for pdf in frames:
-            ids = []
-            for row in pdf[[*keys, order, size]].itertuples(index=False, name=None):
-                if row[:-2] != current:
-                    current, used = row[:-2], 0
-                if used + row[-1] <= limit:
-                    used += row[-1]
-                    ids.append(row[-2])
-            yield pd.DataFrame({order: ids})
+            taken = np.zeros(len(pdf), dtype=bool)
+            sizes = pdf[size].to_numpy()
+            day = pdf[keys].ne(pdf[keys].shift()).any(axis=1).to_numpy()
+            starts = [0, *(np.flatnonzero(day[1:]) + 1), len(pdf)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = tuple(pdf[keys].iloc[a]) if b > a else current
+                current, used = key, used if key == current else 0
+                used += _admit(sizes[a:b], limit - used, taken[a:b])
+            yield pd.DataFrame({order: pdf[order][taken]})
 
     accepted = (
         possible.repartition(*keys)

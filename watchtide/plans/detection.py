@@ -302,14 +302,14 @@ def _(t):
            round(ewma_std, 6) AS ewma_std, round(ewma_z, 5) AS ewma_z FROM ewma""",
 )
 def _(t):
-    out = folds.ewma(series.densify(_bins(t)), length=128)
+    out = folds.ewma(_bins(t), length=128, fill=True)
     return out.select("org", "bin", "c", r("ewma_mean"), r("ewma_std"), r("ewma_z", 5))
 
 
 def _scored(t: Tables):
     counts = _bins(t)
     z = series.rate_stats(counts, W).select("org", "bin", "c", "z")
-    ew = folds.ewma(series.densify(counts), length=128).select("org", "bin", "ewma_z")
+    ew = folds.ewma(counts, length=128).select("org", "bin", "ewma_z")
     return z.join(ew, ["org", "bin"]).withColumn(
         "hybrid", detect.hybrid_score(F.col("z"), F.col("ewma_z"))
     )
