@@ -5,23 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchtide.functions.hashing import chunk_id
 from watchtide.functions.text import fixed, has
+from watchtide.operators import cells
 
 # Chunk size, overlap and separators, hits and relevance.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 TOP_K = 3
+#: Characters of chunks handed on at a time.
+CHUNK_BYTES = 4 << 20
 MIN_RELEVANCE = 0.4
-# How many queries and points one task compares at a time; not a limit on either.
-QUERY_BLOCK = 1024
-POINT_BLOCK = 65536
 
 
 def _stop(text: str, start: int, size: int, overlap: int) -> int:
@@ -36,17 +36,17 @@ def _stop(text: str, start: int, size: int, overlap: int) -> int:
     return end
 
 
-def _chunks(text: str, size: int, overlap: int) -> list[str]:
-    out, start = [], 0
+def _chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(start, chunk) in order."""
+    start = 0
     while start < len(text):
         stop = _stop(text, start, size, overlap)
-        out.append(text[start:stop])
+        yield start, text[start:stop]
         if stop == len(text):
             break
         back = stop - overlap
         space = text.find(" ", back, stop - 1) if overlap else -1
         start = space + 1 if space >= 0 else back
-    return out
 
 
 def chunk_text(
@@ -56,12 +56,41 @@ def chunk_text(
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else _chunks(t, size, overlap))
-
-    keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(split(text)).alias("chunk_index", "chunk"))
+    at = df.columns.index(text)
+    keep = [f for f in df.schema.fields if f.name != text]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in keep]
+        for batch in batches:
+            others = [c for i, c in enumerate(batch.columns) if i != at]
+            made, held = [], 0
+            for k in range(batch.num_rows):
+                for i, (start, chunk) in enumerate(_chunks(batch.column(at)[k].as_py() or "", size, overlap)):
+                    made.append((k, i, start, chunk))
+                    held += len(chunk)
+                    if held > CHUNK_BYTES:  # a long text's chunks go on while it is cut
+                        yield _chunk_batch(others, names, made)
+                        made, held = [], 0
+            yield _chunk_batch(others, names, made)
+
+    added = [T.StructField(n, T.IntegerType()) for n in ("chunk_index", "chunk_start")]
+    return df.mapInArrow(split, T.StructType([*keep, *added, T.StructField("chunk", T.StringType())]))
+
+
+def _chunk_batch(others: list[pa.Array], names: list[str], made: list[tuple]) -> pa.RecordBatch:
+    row, index, start, chunk = zip(*made, strict=True) if made else ((), (), (), ())
+    at = pa.array(row, pa.int64())
+    added = [pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(chunk, pa.string())]
+    return pa.RecordBatch.from_arrays([*[c.take(at) for c in others], *added], [*names, "chunk_index", "chunk_start", "chunk"])
+
+
+def join_chunks(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The texts that chunks were cut from, put together by their starts: keys, text."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_start", "chunk")))
+    joined = F.aggregate(
+        "parts", F.lit(""), lambda text, c: F.concat(text, F.substr(c["chunk"], F.length(text) - c["chunk_start"] + 1))
+    )
+    return chunks.groupBy(*keys).agg(parts.alias("parts")).select(*keys, joined.alias("text"))
 
 
 def dedup_chunks(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
@@ -115,50 +144,16 @@ def vector_search_many(
     id_col: str = "id",
     query_col: str = "query_id",
 ) -> DataFrame:
-    """The k most similar points of every query, exactly.
-
-    Points are dealt into parts and queries into blocks; a task compares one part with one
-    block and keeps k hits per query, so only those go on. Both numbers follow the counts,
-    neither side comes to the driver, and a group's size does not grow with the input.
-    """
-    spark = points.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // POINT_BLOCK))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    schema = T.StructType(
-        [queries.schema[query_col], points.schema[id_col], T.StructField("score", T.DoubleType())]
-    )
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def dealt(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    left = points.select(id_col, "embedding", dealt(id_col, parts).alias("_part"), every(blocks).alias("_block"))
-    right = queries.select(query_col, "embedding", dealt(query_col, blocks).alias("_block"), every(parts).alias("_part"))
-
-    def local_best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({query_col: asked[query_col][:0], id_col: found[id_col][:0], "score": np.zeros(0)})]
-        if len(found) and len(asked):
-            v = np.array(found["embedding"].tolist(), dtype=float)
-            q = np.array(asked["embedding"].tolist(), dtype=float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
-            ids = found[id_col].to_numpy()
-            for name, one in zip(asked[query_col], q, strict=True):
-                s = v @ one
-                # Ties at the last place go by id, so all of them stay until the sort.
-                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-                top = near[np.lexsort((ids[near], -s[near]))[:k]]
-                out.append(pd.DataFrame({query_col: name, id_col: ids[top], "score": s[top]}))
-        return pd.concat(out[1:] or out)
-
-    keys = ("_part", "_block")
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(local_best, schema)
+    """The k most similar points of every query, exactly, over an index of cells (see ``cells``)."""
+    index = cells.CellIndex(points, id_col)
+    asked = queries.select(F.col(query_col).alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    if index.empty:
+        form = [queries.schema[query_col], points.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        return points.sparkSession.createDataFrame([], T.StructType(form))
+    hits, _ = cells.search(index, asked, k)
     if threshold is not None:
         hits = hits.filter(F.col("score") >= threshold)
-    rank = Window.partitionBy(query_col).orderBy(F.col("score").desc(), id_col)
-    return hits.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return hits.select(F.col("query_id").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
 def search_multi(

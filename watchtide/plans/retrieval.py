@@ -31,6 +31,16 @@ def _(t):
     return retrieval.chunk_text(spread(t.documents.select("doc_id", "text")))
 
 
+@query(
+    "join_chunks",
+    "SELECT doc_id, md5(text) AS digest, length(text) AS chars FROM documents WHERE text <> ''",
+)
+def _(t):
+    chunks = retrieval.chunk_text(t.documents.select("doc_id", "text"))
+    whole = retrieval.join_chunks(chunks, ["doc_id"])
+    return whole.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
 @query(
     "dedup_chunks",
     "SELECT md5(text) AS chunk_id, max(doc_id) AS doc_id FROM documents GROUP BY 1",
