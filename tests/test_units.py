@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from watchtide.functions import hashing, indicators, masking, scoring
 from watchtide.operators import (
+    cells,
     correlate,
     detect,
     enrich,
@@ -139,20 +140,34 @@ def test_unique_in_window_equals_brute_force(spark):
 # ---------------------------------------------------------------- folds
 
 
+def ewma_loop(counts, alpha=0.15):
+    m, v, out = None, 0.0, {}
+    for i in range(min(counts), max(counts) + 1):
+        x = float(counts.get(i, 0))
+        d = 0.0 if m is None else x - m
+        m, v = (x, 0.0) if m is None else (alpha * x + (1 - alpha) * m, (1 - alpha) * (v + alpha * d * d))
+        out[i] = (m, v**0.5, (x - m) / v**0.5 if v**0.5 > 0.001 else 0.0)
+    return out
+
+
 @pytest.mark.parametrize("length", [2, 5, 64])
-def test_ewma_equals_loop(spark, length):
+@pytest.mark.parametrize("kind", ["dense", "gaps", "busy"])
+def test_ewma_equals_loop(spark, length, kind):
     rnd = random.Random(11)
-    xs = [rnd.randint(0, 20) for _ in range(150)]
-    got = {r["bin"]: r for r in folds.ewma(bins(spark, dict(enumerate(xs))), 0.15, length=length).collect()}
-    m, v = float(xs[0]), 0.0
-    for i, x in enumerate(xs):
-        if i:
-            d = x - m
-            m, v = 0.15 * x + 0.85 * m, 0.85 * (v + 0.15 * d * d)
-        z = (x - m) / v**0.5 if v**0.5 > 0.001 else 0.0
-        assert got[i]["ewma_mean"] == pytest.approx(m, abs=1e-9)
-        assert got[i]["ewma_std"] == pytest.approx(v**0.5, abs=1e-9)
-        assert got[i]["ewma_z"] == pytest.approx(z, abs=1e-7)
+    counts = {i: rnd.randint(0, 20) for i in range(150)}
+    if kind == "gaps":
+        counts = {i: c for i, c in counts.items() if rnd.random() < 0.2 or i in (0, 149)} | {900: 4, 5000: 9}
+    if kind == "busy":
+        counts = {i: 10**8 + rnd.randint(0, 20) for i in range(150)}
+    want = ewma_loop(counts)
+    got = {r["bin"]: (r["ewma_mean"], r["ewma_std"], r["ewma_z"]) for r in folds.ewma(bins(spark, counts), 0.15, length=length).collect()}
+    assert set(got) == set(counts)
+    for i in counts:
+        assert got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-6 if kind == "busy" else 1e-7)
+    filled = {r["bin"]: (r["ewma_mean"], r["ewma_std"], r["ewma_z"]) for r in folds.ewma(bins(spark, counts), 0.15, length=length, fill=True).collect()}
+    assert set(filled) == set(want)
+    for i in want:
+        assert filled[i] == pytest.approx(want[i], rel=1e-8, abs=1e-6)
 
 
 def greedy(times, gap):
@@ -365,9 +380,10 @@ def test_syslog_forms(spark):
     assert (b["ts"], b["event_type"], b["message"]) == (dt.datetime(2024, 10, 1, 22, 14, 15), "su[2]", "'su root' failed: x")
 
 
-def test_raw_is_cut(spark):
-    row = parse(spark, "word " * 200)[0]
+def test_raw_is_whole_or_cut(spark):
+    row = parse(spark, "word " * 200, messages=normalize.MESSAGES)[0]
     assert (row["parser"], len(row["message"]), row["category"]) == ("raw", 500, "unknown")
+    assert len(parse(spark, "word " * 200)[0]["message"]) == 999
 
 
 def test_substring_category(spark):
@@ -489,23 +505,86 @@ def test_any_number_of_queries(spark, folder, monkeypatch):
     some = points.filter("id < 20").withColumnRenamed("id", "query_id")
     rows = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.vector_search_many(points, some, 4).collect())
     whole = rows()
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(retrieval, "POINT_BLOCK", 7)
+    monkeypatch.setattr(cells, "BLOCK", 7)
+    monkeypatch.setattr(cells, "PROBES", 1)
     assert rows() == whole and len(whole) == 4 * some.count()
     assert retrieval.vector_search_many(points, some.limit(0), 4).count() == 0
+    assert retrieval.vector_search_many(points.limit(0), some, 4).count() == 0
+
+
+def test_cells_leave_out_what_cannot_be_a_hit(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 16))
+    rows = np.repeat(centers, 100, axis=0) + 0.2 * rng.normal(size=(1200, 16))
+    rows = np.vstack([rows, np.zeros((3, 16)), rows[:5]])  # without direction, and ties
+    points = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, embedding array<double>")
+    asked = [*range(0, 1200, 37), 1201]
+    queries = points.filter(F.col("id").isin(asked)).select(F.col("id").alias("query_id"), F.col("embedding").alias("v"))
+    hits, looks = cells.search(cells.CellIndex(points.repartition(4), cells=24), queries, 6)
+    unit = cells.unit(rows)
+    want = []
+    for q in asked:
+        score = unit @ unit[q]
+        want += [(q, int(i), r) for r, i in enumerate(sorted(range(len(rows)), key=lambda i: (-round(score[i], 12), i))[:6], 1)]
+    assert sorted((r.query_id, r.id, r.rank) for r in hits.collect()) == sorted(want)
+    compared = {r.query_id: r.compared for r in looks.collect()}
+    usual = sum(n for q, n in compared.items() if q != 1201) / (len(asked) - 1)
+    assert usual < 0.5 * len(rows)  # more than half of the pairs are skipped
 
 
 # ---------------------------------------------------------------- reports
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_time_bounds_reach_the_scan(spark, tmp_path, kind):
+    path = str(tmp_path / "e")
+    spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1))], "id long, type string, ts timestamp").select(
+        "id", "type", F.col("ts").cast(kind).alias("ts"), F.lit(1.0).alias("value"), F.lit(True).alias("success"), F.lit(1).alias("org")
+    ).write.parquet(path)
+    df, now = spark.read.parquet(path), F.lit(dt.datetime(2024, 1, 2))
+    plans = [
+        reports.recent(df, now, 60),
+        reports.events_in_last(df, now),
+        reports.top_counts(df, "type", now, 60),
+        reports.latency_dashboard(df, now),
+        sinks.prune(df, "ts", now, 60),
+        series.timeline(df, 474185, 10, 3600),
+    ]
+    for found in plans:
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts," in text or "GreaterThan(ts," in text
+
+
+def test_a_hash_names_the_trees_a_row_enters(spark):
+    rows = spark.range(20000).select("id", F.lit(0.0).alias("x"))
+    count = rows.agg(F.count(F.lit(1))).scalar()
+    got = iforest.drawn(rows, ["id"], F.lit(200.0) / count, 50, 1).collect()
+    pairs = {(r.id, r.tree) for r in got}
+    assert len(pairs) == len(got) and {r.tree for r in got} == set(range(50))
+    per = [sum(1 for r in got if r.tree == t) for t in range(50)]
+    assert 150 < min(per) and max(per) < 255 and abs(sum(per) / 50 - 200) < 8
+    again = iforest.drawn(rows.repartition(7), ["id"], F.lit(200.0) / count, 50, 1).collect()
+    assert {(r.id, r.tree) for r in again} == pairs
+    assert iforest.drawn(rows.limit(30), ["id"], F.lit(2.0), 50, 1).count() == 30 * 50
+
+
 @pytest.mark.parametrize("p", [0.01, 0.25, 0.5, 0.95, 1.0])
 def test_nearest_rank_is_exact(spark, p):
     rnd = random.Random(2)
     rows = [("hot", rnd.randint(0, 400) / 4) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    rows += [("ties", -7.25 if k % 10 else rnd.gauss(0, 1e6)) for k in range(2000)]
+    rows += [("near", 1.0 + k * 2.0**-52) for k in range(500)] + [("wide", s * 10.0**e) for e in range(-300, 300, 7) for s in (-1, 1)]
+    rows += [("falling", float(-k)) for k in range(1500)] + [("zero", x) for x in (0.0, -0.0, -5e-324, 5e-324)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["percentile"] for r in reports.nearest_rank(df, "v", p, ["k"], accuracy=50).collect()}
-    hot = sorted(v for k, v in rows if k == "hot")
-    assert got == {"hot": hot[max(math.ceil(p * len(hot)) - 1, 0)], "one": 5.0}
+    got = {r["k"]: (r["percentile"], r["n"]) for r in reports.nearest_rank(df, "v", p, ["k"]).collect()}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    del by["none"]
+    assert got == {k: (sorted(v)[max(math.ceil(p * len(v)) - 1, 0)], len(v)) for k, v in by.items()}
+    whole = df.select("k", F.round(F.least(F.col("v"), F.lit(1e9))).cast("int").alias("v")).filter("k in ('hot', 'falling')")
+    want = {k: sorted(round(x) for x in by[k])[max(math.ceil(p * len(by[k])) - 1, 0)] for k in ("falling",)}
+    assert want.items() <= {r["k"]: r["percentile"] for r in reports.nearest_rank(whole, "v", p, ["k"]).collect()}.items()
 
 
 def test_numbered_equals_row_number(spark):

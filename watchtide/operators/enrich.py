@@ -266,6 +266,17 @@ def mitre_lookup(df: DataFrame, column: str, techniques: DataFrame) -> DataFrame
     return df.join(ids, column, "left")
 
 
+def tactic_key(tactic: Column) -> Column:
+    """A tactic's name in any case and with blanks, as the table has it."""
+    return F.regexp_replace(F.lower(tactic), r"\s+", "-")
+
+
 def techniques_by_tactic(techniques: DataFrame, tactic: Column) -> DataFrame:
     """Techniques of a tactic given by name, in any case and with blanks."""
-    return techniques.filter(F.col("tactic") == F.regexp_replace(F.lower(tactic), r"\s+", "-"))
+    return techniques.filter(F.col("tactic") == tactic_key(tactic))
+
+
+def tactic_lookup(df: DataFrame, column: str, techniques: DataFrame) -> DataFrame:
+    """Every technique of the tactic a row names; rows that name none stay without."""
+    known = techniques.select(F.col("id").alias("technique_id"), F.col("name").alias("technique_name"), F.col("tactic").alias("_tactic"))
+    return df.join(known, tactic_key(F.col(column)) == F.col("_tactic"), "left").drop("_tactic")

@@ -70,6 +70,33 @@ def _grow(points: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[
     return [tuple(n) for n in nodes]
 
 
+def drawn(rows: DataFrame, names: Sequence[str], share: Column, trees: int, seed: int) -> DataFrame:
+    """A row for every tree a row enters (``tree``), each with probability ``share``."""
+
+    # A lambda may not hold the subquery that counts rows, so it becomes a column first.
+    rows = rows.withColumn("_log", F.when(share >= 1, 0.0).otherwise(F.log1p(-share)))
+
+    def skip(salt: Column) -> Column:
+        """Trees skipped before the next one entered."""
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), salt, *names), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        steps = F.floor(F.least(F.log(u) / F.col("_log"), F.lit(float(trees))))
+        return F.when(F.col("_log") == 0, 0).otherwise(steps).cast("int")
+
+    entered = rows.withColumn("_first", skip(F.lit(-1))).filter(F.col("_first") < trees)
+
+    def onward(acc: Column, i: Column) -> Column:
+        step = acc["at"] + 1 + skip(i)
+        goes = (acc["at"] < trees) & (step < trees)
+        return F.struct(
+            F.when(acc["at"] < trees, step).otherwise(acc["at"]).alias("at"),
+            F.when(goes, F.concat(acc["trees"], F.array(step))).otherwise(acc["trees"]).alias("trees"),
+        )
+
+    start = F.struct(F.col("_first").alias("at"), F.array("_first").alias("trees"))
+    walk = F.aggregate(F.sequence(F.lit(0), F.lit(trees - 1)), start, onward)
+    return entered.withColumn("tree", F.explode(walk["trees"])).drop("_first", "_log")
+
+
 def train(
     features: DataFrame,
     order: Sequence[str | Column],
@@ -82,24 +109,24 @@ def train(
 ) -> DataFrame:
     """Grow a forest on samples of all vectors; the result is its node table.
 
-    A tree takes the ``sample`` rows with the smallest hash of tree and order columns, so the
-    same rows give the same forest whatever the partitioning. A cut by the hash, at a share
-    that follows the row count, comes before the shuffle, so that some hundred rows per tree
-    are ranked however many there are. ``history`` keeps only the latest rows. Fewer than
-    ten rows give no trees.
+    A tree takes ``sample`` rows, drawn by hashes of the order columns, so the same rows give
+    the same forest whatever the partitioning. A row's hash says which tree it enters
+    first: the number of trees it skips has the geometric distribution of independent draws,
+    so nearly all rows of a large table skip all trees and go no further. Of the few
+    hundred rows that enter a tree the ``sample`` with the smallest second hash are taken.
+    ``features`` is read twice, to count and to draw; store it if it is costly. ``history``
+    keeps only the latest rows. Fewer than ten rows give no trees.
     """
     rows = features.select(*[F.col(c).cast("double").alias(c) for c in columns], *order)
     names = rows.columns[len(columns) :]
     if history is not None:
         rows = rows.orderBy(*[F.col(c).desc() for c in names]).limit(history)
     n = rows.agg(F.count(F.lit(1))).scalar()
-    drawn = (
-        rows.select(*names, F.array(*columns).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tree", *names), 11))
-        .filter((n >= MIN_ROWS) & (F.col("h") / F.lit(float(1 << 53)) <= F.lit(float(MARGIN * sample)) / n))
-    )
+    share = F.lit(float(MARGIN * sample)) / n
+    draws = drawn(rows.filter(n >= MIN_ROWS), names, share, trees, seed).select("tree", *names, F.array(*columns).alias("x"))
+    draws = draws.withColumn("h", F.xxhash64(F.lit(seed), F.lit("rank"), "tree", *names))
     first = Window.partitionBy("tree").orderBy("h", "x")
-    draws = drawn.withColumn("draw", F.row_number().over(first)).filter(F.col("draw") <= sample)
+    draws = draws.withColumn("draw", F.row_number().over(first)).filter(F.col("draw") <= sample)
     draws = draws.select(F.col("tree").cast("long").alias("tree"), "x")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

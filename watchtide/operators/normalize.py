@@ -52,8 +52,14 @@ RFC5424_LINE = r"^<\d+>\d+\s+(?:\S+\s+){5}"
 RFC3164_LINE = r"^<\d{1,4}>"
 RFC3164_TIME = r"^[A-Za-z]{3}\s+\d+\s+\d{2}:\d{2}:\d{2}$"
 PAIR_BREAK = r"\s(?=[A-Za-z0-9_]+=)"
-RAW_MESSAGE = 500
-JSON_MESSAGE = 200
+# Characters of a line that stand in for a message it lacks, where those are to be short.
+MESSAGES = {"raw": 500, "json": 200}
+
+
+def _cut(text: Column, messages: Mapping[str, int] | None, kind: str) -> Column:
+    """The whole text, or the first characters of it where a number is given for the kind."""
+    return F.substring(text, 1, messages[kind]) if messages and kind in messages else text
+
 
 def _from_scale(level: Column, scale: Sequence[str]) -> Column:
     names = F.array(*[F.lit(s) for s in scale])
@@ -177,7 +183,7 @@ def _syslog_parts(t: Column) -> Column:
     return F.when(t.rlike(RFC5424_LINE), new).when(is_old, old)
 
 
-def _json_event(now: Column) -> dict[str, Column]:
+def _json_event(now: Column, messages: Mapping[str, int] | None) -> dict[str, Column]:
     """Event columns of ``_object``; numbers and texts differ for severity and time."""
     def is_text(name: str) -> str:
         return f"""schema_of_variant(try_variant_get(_typed, "$['{name}']", 'variant')) = 'STRING'"""
@@ -206,7 +212,7 @@ def _json_event(now: Column) -> dict[str, Column]:
         return out.otherwise(default)
 
     event_type = first(JSON_FIELDS["event_type"], F.lit("generic_event"))
-    message = first(JSON_FIELDS["message"], F.substring("_object", 1, JSON_MESSAGE))
+    message = first(JSON_FIELDS["message"], _cut(F.col("_object"), messages, "json"))
     return {
         "ts": by_kind(
             JSON_FIELDS["time"],
@@ -281,13 +287,13 @@ def _kv_event(now: Column, line: Column) -> dict[str, Column]:
     }
 
 
-def _raw_event(now: Column, line: Column) -> dict[str, Column]:
+def _raw_event(now: Column, line: Column, messages: Mapping[str, int] | None) -> dict[str, Column]:
     return {
         "ts": now,
         "source": F.lit("unknown"),
         "severity": F.lit("info"),
         "event_type": F.lit("raw_log"),
-        "message": F.substring(line, 1, RAW_MESSAGE),
+        "message": _cut(line, messages, "raw"),
         "raw_data": F.create_map(F.lit("raw"), line),
         "parser": F.lit("raw"),
     }
@@ -297,7 +303,14 @@ COLUMNS = ("ts", "source", "severity", "category", "event_type", "message", "raw
 
 
 def _events(
-    df: DataFrame, column: str, kind: Column, now: Column, year: Column, loose: bool, last: bool
+    df: DataFrame,
+    column: str,
+    kind: Column,
+    now: Column,
+    year: Column,
+    loose: bool,
+    last: bool,
+    messages: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Parse every line as its kind; ``loose`` reads refused JSON as pairs, ``last`` as raw.
 
@@ -341,11 +354,11 @@ def _events(
         .otherwise(form),
     ).filter(form.isNotNull())
     events = {
-        "json": _json_event(now),
+        "json": _json_event(now, messages),
         "cef": _cef_event(now),
         "syslog": _syslog_event(now, year),
         "kv": _kv_event(now, line),
-        "raw": _raw_event(now, line),
+        "raw": _raw_event(now, line, messages),
     }
 
     def pick(name: str) -> Column:
@@ -370,9 +383,9 @@ def _events(
     return rows.select(*df.columns, *[F.col(f"_e_{c}").alias(c) for c in COLUMNS])
 
 
-def parse_json_logs(df: DataFrame, now: Column, column: str = "line") -> DataFrame:
+def parse_json_logs(df: DataFrame, now: Column, column: str = "line", messages: Mapping[str, int] | None = None) -> DataFrame:
     """JSON lines only; arrays and Records give one event per element, bad lines none."""
-    return _events(df, column, F.lit("json"), now, F.lit(None), loose=False, last=False)
+    return _events(df, column, F.lit("json"), now, F.lit(None), loose=False, last=False, messages=messages)
 
 
 def parse_cef_logs(df: DataFrame, now: Column, column: str = "line") -> DataFrame:
@@ -387,21 +400,27 @@ def parse_kv_logs(df: DataFrame, now: Column, column: str = "line") -> DataFrame
     return _events(df, column, F.lit("kv"), now, F.lit(None), loose=True, last=False)
 
 
-def parse_raw(df: DataFrame, now: Column, column: str = "line") -> DataFrame:
-    return _events(df, column, F.lit("raw"), now, F.lit(None), loose=False, last=True)
+def parse_raw(df: DataFrame, now: Column, column: str = "line", messages: Mapping[str, int] | None = None) -> DataFrame:
+    return _events(df, column, F.lit("raw"), now, F.lit(None), loose=False, last=True, messages=messages)
 
 
 def normalize_logs(
-    df: DataFrame, now: Column, year: Column, format: str = "auto", column: str = "line"
+    df: DataFrame,
+    now: Column,
+    year: Column,
+    format: str = "auto",
+    column: str = "line",
+    messages: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Events of lines in a given or detected format, one schema whatever the format.
 
     A CEF or syslog line its pattern refuses is dropped; a JSON line that is not JSON is
-    read as key=value pairs, and a line without pairs becomes a raw event.
+    read as key=value pairs, and a line without pairs becomes a raw event. A line without a
+    message is its own message, whole unless ``messages`` says how much of it.
     """
     kinds = {"auto": detect_format(F.col(column)), "ndjson": F.lit("json")}
     kind = kinds.get(format, F.lit(format))
-    return _events(df, column, kind, now, year, loose=format == "auto", last=True)
+    return _events(df, column, kind, now, year, loose=format == "auto", last=True, messages=messages)
 
 
 def formats_detected(events: DataFrame, *keys: str) -> DataFrame:

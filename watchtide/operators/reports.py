@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchtide.functions.scoring import CLOSED, half_up, sla_breached, sla_deadline
 from watchtide.operators import slices
-from watchtide.session import stored
 
 MICROS = 1_000_000
 
@@ -26,7 +26,7 @@ def tenant_or_global(df: DataFrame, org, column: str = "org") -> DataFrame:
 
 def recent(df: DataFrame, now: Column, seconds: int, ts: str = "ts") -> DataFrame:
     """Rows of the last seconds; the bare column keeps the comparison pushable."""
-    return df.filter(F.col(ts) >= now - F.make_dt_interval(secs=F.lit(seconds)))
+    return df.filter(F.col(ts) >= slices.stored_time(df, ts, now - F.make_dt_interval(secs=F.lit(seconds))))
 
 
 def events_in_last(df: DataFrame, now: Column, seconds: int = 60, ts: str = "ts") -> DataFrame:
@@ -171,55 +171,54 @@ def sla_by_severity(cases: DataFrame, now: Column) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-SALTS = 16
+def ordered_bits(value: str, kind: T.DataType) -> Column:
+    """A whole number that sorts as the value does; for doubles their bits, negative ones turned over."""
+    if isinstance(kind, T.IntegralType):
+        return F.col(value).cast("long")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double")).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR((1 << 63) - 1)).otherwise(bits)
 
 
-def nearest_rank(
-    df: DataFrame, value: str, p: float, keys: Sequence[str], accuracy: int = 100_000
-) -> DataFrame:
-    """The exact value at rank ceil(p n) of every key, and n.
+def nearest_rank(df: DataFrame, value: str, p: float, keys: Sequence[str]) -> DataFrame:
+    """The exact value at rank ceil(p n) of every key, and n; null values do not count.
 
-    A sketch with a proven rank error brackets the value; what lies below the bracket is
-    only counted and what lies inside is counted by value, so no key is sorted as a whole.
-    The brackets, one row per key, are stored first: their size is then known and Spark
-    broadcasts them when they are small. Salt keeps a hot key spread when they are not.
+    Rows are counted by value once. Four histograms of 16 bits each then narrow down, for
+    every key, the range of values that holds the rank: from one to the next only the chosen
+    range is looked at, with the rank inside it, so nothing is assumed about how values
+    are spread and no key is sorted or held as a whole.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    lo, hi = max(p - 2 / accuracy, 0.0), min(p + 2 / accuracy, 1.0)
-    bounds = known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, [lo, hi], accuracy).alias("_b"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    low = F.col("_b")[0] if lo > 0 else F.col("_min")
-    high = F.col("_b")[1] if hi < 1 else F.col("_max")
-    bounds = stored(bounds.select(*keys, "n", low.alias("_lo"), high.alias("_hi")), "brackets")
-    salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = known.withColumn("_salt", F.spark_partition_id() % SALTS)
-    inside = F.when(F.col(value) >= F.col("_lo"), F.col(value))
-    counted = (
-        rows.join(salted, [*keys, "_salt"])
-        .filter(F.col(value) <= F.col("_hi"))
-        .groupBy(*keys, inside.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("n").alias("n"))
-    )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
-    target = F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
-    return (
-        ranked.filter(F.col("_v").isNotNull() & (F.col("_cum") >= target))
-        .groupBy(*keys)
-        .agg(F.min("_v").alias("percentile"), F.max("n").alias("n"))
-    )
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    bits = ordered_bits(value, df.schema[value].dataType)
+    left = counted.withColumn("_bits", bits)
+    chosen: list[str] = []
+    found = None
+    for level, shift in enumerate((48, 32, 16, 0)):
+        part = F.shiftright("_bits", shift)
+        name = f"_b{level}"
+        left = left.withColumn(name, part if level == 0 else part.bitwiseAND(0xFFFF))
+        rows = left if found is None else left.join(found, [*keys, *chosen])
+        counts = rows.groupBy(*keys, *chosen, name).agg(
+            F.sum("_c").alias("_c"), F.min(value).alias("percentile"), *([] if found is None else [F.max("_need").alias("_need"), F.max("n").alias("n")])
+        )
+        whole = Window.partitionBy(*keys)
+        counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy(name)))
+        if found is None:
+            counts = counts.withColumn("n", F.sum("_c").over(whole))
+            counts = counts.withColumn("_need", F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)))
+        chosen.append(name)
+        at = counts.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_c") < F.col("_need")))
+        found = at.select(*keys, *chosen, (F.col("_need") - (F.col("_upto") - F.col("_c"))).alias("_need"), "n", "percentile")
+        if level < 3:
+            found = found.drop("percentile")
+    return found.select(*keys, "percentile", "n")
 
 
 def latency_dashboard(
     metrics: DataFrame, now: Column, hours: int = 24, p: float = 0.95, keys: Sequence[str] = ("type",)
 ) -> DataFrame:
     """Mean, exact nearest-rank percentile, count and error rate per type over the last hours."""
-    last = metrics.filter(F.col("ts") > now - F.make_dt_interval(hours=F.lit(hours)))
+    last = metrics.filter(F.col("ts") > slices.stored_time(metrics, "ts", now - F.make_dt_interval(hours=F.lit(hours))))
     basic = last.groupBy(*keys).agg(
         F.avg("value").alias("avg_latency"),
         F.count(F.lit(1)).alias("requests"),

@@ -19,7 +19,7 @@ DENSE_SLICE = 4096
 
 
 def bin_of(ts: str = "ts", seconds: int = 1) -> Column:
-    return F.expr(f"unix_seconds({ts}) div {int(seconds)}")
+    return F.expr(f"unix_seconds(cast({ts} as timestamp)) div {int(seconds)}")
 
 
 def bin_counts(
@@ -39,7 +39,8 @@ def timeline(
 ) -> DataFrame:
     """The last ``points`` bins and the current one, empty bins as 0."""
     lo = now_bin - points
-    binned = df.select(*keys, bin_of(ts, seconds).alias("bin"))
+    first, after = (slices.stored_time(df, ts, F.timestamp_seconds(F.lit(b * seconds))) for b in (lo, now_bin + 1))
+    binned = df.filter((F.col(ts) >= first) & (F.col(ts) < after)).select(*keys, bin_of(ts, seconds).alias("bin"))
     inside = binned.filter(F.col("bin").between(lo, now_bin)).withColumn("n", F.lit(1))
     grid = (
         df.select(*keys)

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 SLICE = "_slice"
 
 
+def stored_time(df: DataFrame, ts: str, time: Column) -> Column:
+    """A time in the type the column is stored in: a bare column against it reaches the scan."""
+    return time.cast(df.schema[ts].dataType)
+
+
 def slice_of(t: Column, length: int) -> Column:
     """Floor division in whole numbers, exact for any 64-bit time."""
     return ((t - F.pmod(t, F.lit(length))) / F.lit(length)).cast("long")

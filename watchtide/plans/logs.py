@@ -94,12 +94,12 @@ def _shown(events):
 
 @query("normalize_logs", f"WITH {PARSED} SELECT * FROM full_ev")
 def _(t):
-    return _shown(normalize.normalize_logs(_lines(t), _now(), F.lit(YEAR)))
+    return _shown(normalize.normalize_logs(_lines(t), _now(), F.lit(YEAR), messages=normalize.MESSAGES))
 
 
 @query("parse_json_logs", f"WITH {PARSED} SELECT * FROM full_ev WHERE parser = 'json'")
 def _(t):
-    return _shown(normalize.parse_json_logs(_lines(t), _now()))
+    return _shown(normalize.parse_json_logs(_lines(t), _now(), messages=normalize.MESSAGES))
 
 
 @query("parse_cef_logs", f"WITH {PARSED} SELECT * FROM full_ev WHERE parser = 'cef'")
@@ -133,7 +133,7 @@ def _(t):
       'free text ' || t || ' ' || u AS message FROM lines WHERE event_id % 16 = 15""",
 )
 def _(t):
-    out = normalize.parse_raw(_lines(t).filter(F.startswith("line", F.lit("free"))), _now())
+    out = normalize.parse_raw(_lines(t).filter(F.startswith("line", F.lit("free"))), _now(), messages=normalize.MESSAGES)
     return out.select("event_id", "parser", "event_type", "category", "message")
 
 

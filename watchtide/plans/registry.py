@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchtide.session import prepare
@@ -25,6 +25,9 @@ class Tables:
 
     def sig(self) -> DataFrame:
         """Security signals played by the ``events`` table (see SIG for the same in SQL)."""
+        return self._signals(F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+
+    def _signals(self, ts: Column) -> DataFrame:
         kind = F.create_map(*[F.lit(x) for pair in SIGNAL_TYPES.items() for x in pair])
         return self.events.select(
             F.col("event_id").alias("id"),
@@ -34,8 +37,12 @@ class Tables:
             F.concat(F.lit("u"), F.col("user_id")).alias("user_name"),
             F.floor(F.col("value") * 100).cast("long").alias("bytes"),
             F.col("value"),
-            F.col("ts").cast("timestamp").alias("ts"),
-        ).withColumn("us", F.unix_micros("ts"))
+            ts.alias("ts"),
+        )
+
+    def dated(self) -> DataFrame:
+        """Signals whose ``ts`` is the stored column, for filters that the scan can use."""
+        return self._signals(F.col("ts"))
 
     def cases(self) -> DataFrame:
         """Incidents and cases played by the ``orders`` table (CASES in SQL)."""

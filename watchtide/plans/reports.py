@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchtide.functions.scoring import confidence_tier, risk_level, risk_score_v1, risk_score_v2
 from watchtide.operators import reports, slices
 from watchtide.plans.registry import CASES, SIG, Tables, query
+from watchtide.session import shared_dir
 from watchtide.sources import adapters, sinks
 
 # "Now" of the event stream: its last event, as a scalar of the whole table.
@@ -131,10 +132,20 @@ def _(t):
 
 
 TABLE_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
     "events": "event_id ts user_id event_type value props",
     "documents": "doc_id text lang source n_chars",
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-    "nation": "n_nationkey n_name n_regionkey",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
 }
 
 
@@ -150,6 +161,25 @@ def _(t):
     return adapters.discover_schema({n: getattr(t, n) for n in TABLE_COLUMNS}).drop("column_type")
 
 
+@query(
+    "read_json_events",
+    """SELECT event_type AS event, CAST(user_id AS VARCHAR) AS order_id, count(*) AS n, min(epoch_us(ts) // 1000) AS first_ms,
+      max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY 1, 2""",
+)
+def _(t):
+    # The events as sample files, each one JSON array of an hour's events, read back.
+    path = shared_dir(t.spark, "samples")
+    row = F.struct(
+        F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("order_id"),
+        (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("timestamp"), F.lit("web").alias("source"),
+    )
+    hours = t.events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    hours.select("value").repartition(24, "value").write.option("maxRecordsPerFile", 1).text(path)
+    ms = F.round(F.col("timestamp") * 1000).cast("long")
+    back = adapters.read_json_events(t.spark, path)
+    return back.groupBy("event", "order_id").agg(F.count(F.lit(1)).alias("n"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+
+
 @query(
     "documents_not_blank",
     "SELECT doc_id, lang, n_chars FROM documents WHERE regexp_matches(text, '\\S')",
@@ -224,8 +254,7 @@ def _(t):
     f"SELECT event_id FROM events WHERE ts >= {NOW_SQL} - INTERVAL 5 DAY",
 )
 def _(t):
-    ev = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return sinks.prune(ev, "ts", _now(t), 5 * 86_400).select("event_id")
+    return sinks.prune(t.events.select("event_id", "ts"), "ts", _now(t), 5 * 86_400).select("event_id")
 
 
 @query("tenant_filter", f"WITH {SIG} SELECT id, org FROM sig WHERE org = 2")
@@ -249,13 +278,12 @@ def _(t):
 
 @query("recent", f"SELECT event_id FROM events WHERE ts >= {NOW_SQL} - INTERVAL 2 DAY")
 def _(t):
-    ev = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return reports.recent(ev, _now(t), 2 * 86_400).select("event_id")
+    return reports.recent(t.events.select("event_id", "ts"), _now(t), 2 * 86_400).select("event_id")
 
 
 @query("events_per_minute", f"SELECT count(*) AS events FROM events WHERE ts >= {NOW_SQL} - INTERVAL 6 HOUR")
 def _(t):
-    return reports.events_in_last(t.sig(), _now(t), 6 * 3600)
+    return reports.events_in_last(t.dated(), _now(t), 6 * 3600)
 
 
 @query(
@@ -263,7 +291,7 @@ def _(t):
     f"WITH {SIG} SELECT source, count(*) AS n FROM sig WHERE ts >= {NOW_SQL} - INTERVAL 3 DAY GROUP BY 1",
 )
 def _(t):
-    return reports.top_counts(t.sig(), "source", _now(t), 3 * 86_400)
+    return reports.top_counts(t.dated(), "source", _now(t), 3 * 86_400)
 
 
 @query(
@@ -272,7 +300,7 @@ def _(t):
     ORDER BY n DESC, source LIMIT 5""",
 )
 def _(t):
-    return reports.top_counts(t.sig(), "source", _now(t), 3 * 86_400, 5)
+    return reports.top_counts(t.dated(), "source", _now(t), 3 * 86_400, 5)
 
 
 @query(
@@ -281,7 +309,23 @@ def _(t):
     ORDER BY n DESC, event_type LIMIT 1""",
 )
 def _(t):
-    return reports.top_counts(t.sig(), "event_type", _now(t), 86_400, 1)
+    return reports.top_counts(t.dated(), "event_type", _now(t), 86_400, 1)
+
+
+@query(
+    "status_banners",
+    """SELECT 1 AS case_, 'BREACH DETECTED' AS banner UNION ALL SELECT 2, CASE WHEN max(o_orderkey) % 2 = 1
+      THEN 'AGENT MITIGATING' ELSE 'Steady State' END FROM orders UNION ALL SELECT 3, CASE WHEN max(o_orderkey) % 2 = 0
+      THEN 'AGENT MITIGATING' ELSE 'Steady State' END FROM orders""",
+)
+def _(t):
+    # Just after the latest anomaly, long after it, and long after one with the other status.
+    def at(case, now, odd):
+        status = F.when(F.col("o_orderkey") % 2 == odd, "Pending Mitigation").otherwise("x")
+        rows = t.orders.select(F.col("o_orderkey").alias("id"), F.lit(100.0).alias("timestamp"), status.alias("status"))
+        return reports.status_banner(rows, F.lit(now)).select(F.lit(case).alias("case_"), "banner")
+
+    return at(1, 114.9, 1).union(at(2, 115.0, 1)).union(at(3, 900.0, 0))
 
 
 @query(
@@ -396,7 +440,7 @@ def _(t):
 
 def _metrics(t: Tables):
     return t.events.select(
-        F.col("event_type").alias("type"), "value", F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("type"), "value", "ts",
         (F.col("event_id") % 17 != 0).alias("success"), (F.col("event_id") % 4).alias("sources_found"),
     )
 

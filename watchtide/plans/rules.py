@@ -207,7 +207,7 @@ def _features(t: Tables):
 
 @query("iforest_train")
 def _(t):
-    return iforest.train(_features(t), ["bin", "org"])
+    return iforest.train(stored(_features(t), "features"), ["bin", "org"])
 
 
 def _forest_scores(t: Tables):
@@ -224,7 +224,7 @@ def _(t):
 def _(t):
     counts = series.bin_counts(t.sig(), B)
     z = series.rate_stats(counts, W).select("org", "bin", "z")
-    ew = folds.ewma(series.densify(counts), length=128).select("org", "bin", "ewma_z")
+    ew = folds.ewma(counts, length=128).select("org", "bin", "ewma_z")
     scored = _forest_scores(t).join(z, ["org", "bin"]).join(ew, ["org", "bin"])
     h = detect.hybrid_score(F.col("z"), F.col("ewma_z"), F.col("iforest_score"))
     return scored.select(
@@ -473,6 +473,23 @@ def _(t):
     return out.select("id", "ref", "technique_name", "tactic")
 
 
+@query(
+    "techniques_by_tactic",
+    f"""WITH {SIG}, e AS (SELECT CASE event_type WHEN 'login_failed' THEN 'Credential Access' WHEN 'data_export' THEN 'exfiltration'
+        WHEN 'admin_add' THEN 'Lateral  MOVEMENT' WHEN 'page_view' THEN 'no such tactic' ELSE 'impact' END AS asked FROM sig)
+    SELECT asked, technique_id, count(*) AS n FROM e LEFT JOIN (VALUES ('Credential Access', 'T1110'), ('exfiltration', 'T1041'),
+      ('Lateral  MOVEMENT', 'T1021'), ('impact', 'T1498'), ('impact', 'T1486')) v(tactic, technique_id) ON tactic = asked GROUP BY 1, 2""",
+)
+def _(t):
+    kind = F.col("event_type")
+    asked = (
+        F.when(kind == "login_failed", "Credential Access").when(kind == "data_export", "exfiltration")
+        .when(kind == "admin_add", "Lateral  MOVEMENT").when(kind == "page_view", "no such tactic").otherwise("impact")
+    )
+    out = enrich.tactic_lookup(t.sig().select(asked.alias("asked")), "asked", enrich.techniques_table(t.spark))
+    return out.groupBy("asked", "technique_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Anomalies played by customers, incidents by their orders.
 def _customers(t: Tables):
     return t.customer.select(
