@@ -16,12 +16,18 @@ from watchtide.llm.common import prepare, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KEY = ("_id", "_without", "_digest")
+#: Below all ids.
+LOWEST = -(1 << 63)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier rejects go. It learns from labelled documents outside the held-out part."""
+    """Documents the classifier rejects go. It learns from labelled documents outside the held-out part.
+
+    Rows are judged one by one: repeated rows and rows that share an id stay or go by their own
+    texts, and texts of any length are read whole. Columns beside those of documents are dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(toxicity.labelled_rows(docs, labels))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model, keep=COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
@@ -42,15 +48,43 @@ def _key(doc_id: Column, digest: Column) -> list[Column]:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts the one with the smallest id stays."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of linked texts the one with the smallest id stays.
+
+    Different texts of one id are nodes of their own: all but the first of them, by digest, get a
+    number below all ids for the join, and of a linked group the smallest true id stays.
+    Repeated rows (one id, one text) stay or go together; texts with no words, and rows without an
+    id, stay. Texts are read whole; other columns are dropped.
+    """
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("_digest")
+    rows = docs.select(*COLUMNS, digest)
+    texts = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_digest").alias("first"), F.max("_digest").alias("last"))
+    shared = stored(texts.filter("first <> last").select("doc_id", "first"), "pipeline-shared-ids")
+    if shared.isEmpty():
+        found = jaccard.near_duplicates(docs)
+        gone = found.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    others = rows.join(shared, "doc_id").filter("_digest <> first").select("doc_id", "_digest").distinct()
+    numbered = others.select("doc_id", "_digest", (F.lit(LOWEST) + F.monotonically_increasing_id()).alias("_number"))
+    numbered = stored(numbered, "pipeline-numbers")
+    rows = rows.join(numbered, ["doc_id", "_digest"], "left").withColumn("_node", F.coalesce("_number", "doc_id"))
+    rows = stored(rows.select(*COLUMNS, "_node"), "pipeline-nodes")
+    found = jaccard.near_duplicates(rows, id_col="_node").filter("doc_id is not null").select(
+        F.col("doc_id").alias("_node"), F.col("component_id").alias("_group")
+    ).distinct()
+    named = found.join(numbered.select("_number", "doc_id"), F.col("_node") == F.col("_number"), "left")
+    named = named.select("_node", "_group", F.coalesce("doc_id", "_node").alias("_id"))
+    first = named.groupBy("_group").agg(F.min(F.struct("_id", "_node")).alias("stays"))
+    gone = named.join(first, "_group").filter(F.col("_node") != F.col("stays._node")).select("_node")
+    return rows.join(gone, "_node", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many whole copies of a document as the mix takes of its words, rounded: none, one or
-    two. Documents without words, which weigh nothing, stay once."""
+    two. Documents without words, which weigh nothing, stay once.
+
+    Rows of one id and text count as one document, the largest share of them taken; ties in the
+    shuffle go by id. Texts are read whole; other columns are dropped.
+    """
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     copies = mixing.mix(docs).groupBy("row_key").agg(F.max(copies).alias("copies")).filter("copies > 0")
     rows = docs.select(*COLUMNS, mixing.row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
@@ -59,7 +93,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids: one row per row of the mix."""
+    """doc_id, n_pieces, ids: one row per row of the mix, repeated rows and ids included.
+
+    Null and empty texts have no pieces; very long texts are cut into chunks and joined again.
+    """
     coded = pieces.encode(docs).select("doc_id", "text_sha256", "ids")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
