@@ -61,7 +61,7 @@ def docs(spark):
 def operators():
     def scored(d):
         labels = d.sparkSession.createDataFrame([(1, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
-        return toxicity.score(d, toxicity.fit(toxicity.labelled_rows(d, labels)))
+        return toxicity.score(d, toxicity.fit(d, labels))
 
     return {
         "exact": lambda d: exact.exact_dedup(d, exact.DigestIndex.fresh(d.sparkSession, 4)),
@@ -412,12 +412,54 @@ def test_toxicity_on_held_out_rows(spark):
         labels.append((i, 1, toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.fit(toxicity.labelled_rows(docs, marks))
+    model = toxicity.fit(docs, marks)
     got = toxicity.score(docs, model).join(marks, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
     hit = sum(r.predicted and r.toxic for r in got)
     assert hit / sum(r.toxic for r in got) > 0.9 and hit / sum(r.predicted for r in got) > 0.8
 
 
+def test_toxicity_features_equal_brute_force():
+    import numpy as np
+
+    rng = random.Random(13)
+    texts = [prose(k, rng.randrange(1, 400)).encode() for k in range(30)] + [b"", b"x" * 5000, "é".encode() * 90]
+    contents = (b" idiot moron scum " + prose(900, 300).encode(), prose(900, 300).encode())
+    toxic, ordinary = [toxicity._compressor(c) for c in contents]
+    got = toxicity.features(texts, toxic, ordinary)
+    for text, row in zip(texts, got, strict=True):
+        text = text or b" "
+        saved = []
+        for k in range(max(1, -(-(len(text) - 16) // 80))):  # windows of 96 bytes, 80 apart
+            window = text[80 * k : 80 * k + 96]
+            saved.append(len(ordinary.compress(window)) - len(toxic.compress(window)))
+        top = sorted(saved, reverse=True)
+        want = [top[0], top[1] if len(top) > 1 else 0, sum(top[:3]) / len(top[:3]), sum(saved) / len(saved), np.log(len(saved)), sum(x >= 4 for x in saved) / len(saved)]
+        want += [np.log1p(sum(x >= least for x in saved)) for least in (1, 2, 4, 6)]
+        assert row.tolist() == pytest.approx(want)
+
+
+def test_exact_batches_meet_by_a_sort_merge_anti_join(spark, docs):
+    index = exact.DigestIndex.fresh(spark, 4)
+    whole = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact.exact_dedup(docs, exact.DigestIndex.fresh(spark, 4)).collect())
+    found = exact.exact_dedup(docs, index, cuts=[7, 12])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in found.collect()) == whole
+    plan = index.lacking(exact._firsts(docs.select("doc_id", exact.digest(F.col("text")).alias("digest"))))._jdf.queryExecution().executedPlan().toString()
+    assert re.search("SortMergeJoin.*LeftAnti", plan)
+    assert index.lacking(index.read()).count() == 0
+
+
+def test_near_copies_of_texts_that_share_an_id(spark, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    near, other = prose(70, 60), prose(71, 60)
+    rows = [(1, near), (5, near + " x"), (5, other), (5, other), (7, other + " y"), (8, prose(72, 9)), (None, near), (9, None), (9, ""), (3, other + " z")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string")
+    left = corpus_pipeline.drop_near_copies(spark, df, folder)
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    # Of the second group the smallest id is 3; both rows of the other text with id 5 go.
+    assert kept == sorted([(1, near), (3, other + " z"), (8, prose(72, 9)), (None, near), (9, None), (9, "")], key=str)
+
+
 def test_quality_counts(spark):
     text = "a b c d e f g h " * 3 + "\n#x#\nline\nline\n \n "
     r = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -456,6 +498,71 @@ def test_licences_of_given_documents_are_inherited_from_several_levels(spark, tm
     assert got[600] == got[None] == (None, None, None) and len(got) == len(rows)
 
 
+def licence_of(text):
+    """Every run of words of every template's length, and every line, against every template: no bounds."""
+    import math
+    from collections import Counter
+
+    split = lambda t: re.findall("[a-z0-9]+(?:[.-][0-9a-z]+)*", t.lower())
+    known = [(name, split(t)) for name, t in licenses.TEMPLATES]
+    n = len(known)
+    idf = lambda w: math.log((1 + n) / (1 + sum(w in t for _, t in known) or 1)) + 1
+    weight = lambda w: idf(w) if any(w in t for _, t in known) else math.log((1 + n) / 2) + 1
+    vector = lambda words: {w: k * weight(w) for w, k in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    places = [(k, w) for k, line in enumerate(text.lower().split("\n")) for w in split(line)]
+    words = [w for _, w in places]
+    spans = {(i, i + min(len(t), len(words))) for _, t in known for i in range(len(words) - min(len(t), len(words)) + 1)}
+    spans |= {(min(x), max(x) + 1) for line in {k for k, _ in places} for x in ([i for i, (k, _) in enumerate(places) if k == line],)}
+    some = {w for _, t in known for w in t}
+    found = []
+    for i, j in spans:
+        if sum(w in some for w in words[i:j]) < 2:
+            continue
+        mine = vector(words[i:j])
+        best = []
+        for m, (name, t) in enumerate(known):
+            its = vector(t)
+            if len(its.keys() & mine.keys()) > 1:
+                cosine = sum(x * its.get(w, 0.0) for w, x in mine.items()) / norm(mine) / norm(its)
+                best.append((-round(cosine, 6), f"{name}#{m}"))
+        if best and -min(best)[0] >= licenses.LEAST:
+            found.append((*min(best), i, j))
+    taken, notices = set(), []
+    for cosine, key, i, j in sorted(found):
+        if not taken & set(range(i, j)):
+            taken |= set(range(i, j))
+            notices.append((i, key.split("#")[0], -cosine))
+    return min(notices, default=(None, None, None))[1]
+
+
+def test_licences_equal_brute_force(spark, folder):
+    rows = [(r.doc_id, r.source, r.lang, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if len(r.text) < 3000]
+    rng = random.Random(12)
+    bits = [t for _, t in licenses.TEMPLATES]
+    for k in range(40):  # notices with words lost, added and mixed up, over lines
+        words = " ".join([prose(k, 8), *rng.sample(bits, 2), prose(k + 50, 6)]).split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice(["license", "x", "the", "version"])
+        rows.append((10_000 + 37 * k, rng.choice(["a", None]), "en", " ".join(w + rng.choice([" ", " ", "\n"]) for w in words)))
+    own = {i: licence_of(t) for i, _, _, t in rows}
+    levels = {i: (s or "none", g or "none", str(i // 100)) for i, s, g, _ in rows}
+    files = {}
+    for i, name in own.items():
+        if name:
+            at = levels[i][: 1 + i % 3]
+            files.setdefault(at, []).append(("/".join([*at, f"LICENSE-{i}"]), name))
+    want = {}
+    for i, name in own.items():
+        place = levels[i][: 1 + i % 3] if name else levels[i]
+        above = [min(files[place[:k]])[1] for k in range(len(place), 0, -1) if place[:k] in files]
+        want[i] = (name or next(iter(above), None), "own" if name else "directory" if above else None)
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_documents(df.repartition(4)).collect()}
+    assert got == want
+    assert sum(name is not None for name in own.values()) > 30
+
+
 def test_licences_in_long_lines_over_lines_and_reserved_rights(spark, monkeypatch):
     wrapped = "Permission is hereby\n * granted, free of charge,\n * to any person obtaining\n * a copy of this software"
     texts = {

@@ -1,19 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and the same one with what marks
-toxic text put before it. A text is cut into overlapping byte windows; a window that the
-toxic dictionary compresses shorter than the ordinary one holds something only toxic text
+Two zstandard dictionaries: one trained on windows of ordinary text, one on windows of toxic
+text. The toxic compressor has its dictionary in front of the ordinary one, so that what both
+know costs the same. A text is cut into overlapping byte windows; a window that the
+toxic compressor makes shorter than the ordinary one holds something only toxic text
 has. The savings per window become a few numbers per text, and a logistic curve fitted on
 labelled texts turns them into a calibrated score.
 
-What marks toxic text: words met between many different neighbours in toxic samples and
+Toxic texts are mostly ordinary, so the windows the toxic dictionary is trained on are cut
+around telling words: words met between many different neighbours in toxic samples and
 (nearly) never in ordinary ones. Counting neighbours instead of texts keeps a text with
 hundreds of copies from making its rare words look telling.
 
-The model is fitted on a bounded sample of labelled texts, chosen by a hash of the id: at
-most ``SAMPLE`` toxic ones and twice as many ordinary ones, ``SAMPLE_CHARS`` characters of
-each, 180 million characters if all were that long. Everything else runs over all rows and
-whole texts.
+The model is fitted on a bounded sample of labelled rows, chosen by a hash of the id: at
+most ``SAMPLE`` toxic ones and twice as many ordinary ones. Dictionaries are trained on at most
+``PIECES`` windows of each, spread evenly over the whole text, which come to the driver (30 MB
+at most); the curve is fitted on features of the sampled texts, whole, computed in tasks.
+Everything else runs over all rows and whole texts.
 
 Defined cases: null and empty texts have one empty window and are scored like any other;
 rows are independent, so repeated rows get equal scores; an empty table gives an empty
@@ -33,17 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watchtide.llm.common import stored
 from watchtide.llm.shingles import mixed
 
 SAMPLE = 3000
-SAMPLE_CHARS = 20000
+PIECES, PIECE = 32, 96
 THRESHOLD = 0.3
 WINDOW, STEP = 96, 80
 LEVEL = 9
 ORDINARY_BYTES = 32768
-TOXIC_BYTES = 8192
+TOXIC_BYTES = 1024
 LEAST_CONTEXTS = 4
 TIMES_ORDINARY = 100
+#: Of the windows the toxic dictionary is trained on: bytes to either side of a telling word, and windows of one word.
+AROUND, OF_A_WORD = 1, 64
 SAVED = (1, 2, 4, 6)
 
 
@@ -81,13 +87,28 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
         if n >= LEAST_CONTEXTS and n / n_bad >= TIMES_ORDINARY * (good.get(w, 0) + 0.5) / n_good
     ]
     marks.sort(key=lambda w: (bad[w], w))
-    pieces = [t[i : i + 64] for t in ordinary for i in range(0, len(t), 64)]
+    plain = _trained([t[i : i + 64] for t in ordinary for i in range(0, len(t), 64)], ORDINARY_BYTES)
+    if not marks:
+        return plain, plain
+    telling = re.compile(rb"(?<![^\s.,;:!?])(?:" + b"|".join(re.escape(w) for w in sorted(marks, key=len, reverse=True)) + rb")(?![^\s.,;:!?])", re.I)
+    near: list[bytes] = []
+    seen: dict[bytes, int] = {}
+    for t in toxic:
+        for m in telling.finditer(t):
+            word = m.group().lower()
+            seen[word] = seen.get(word, 0) + 1
+            if seen[word] <= OF_A_WORD:
+                near.append(t[max(0, m.start() - AROUND) : m.end() + AROUND])
+    return _trained(near, TOXIC_BYTES, 32, 6) + plain, plain
+
+
+def _trained(windows: list[bytes], size: int, k: int = 32, d: int = 8) -> bytes:
+    """A dictionary of at most ``size`` bytes, of segments of ``k`` bytes told by runs of ``d``; too
+    little text to train on stands for itself."""
     try:
-        plain = zstandard.train_dictionary(ORDINARY_BYTES, pieces, k=32, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        plain = b"\n".join(ordinary)[-ORDINARY_BYTES:]
-    telling = (b" " + b" ".join(marks) + b" ")[-TOXIC_BYTES:] if marks else b""
-    return telling + plain, plain
+        return zstandard.train_dictionary(size, windows, k=k, d=d, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(windows)[-size:]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -169,34 +190,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """From rows (doc_id, text, toxic). The curve sees every text of the bounded sample through
-    dictionaries trained on the other half of it; the final dictionaries use both halves."""
-    rows = labelled.select(
-        F.col("toxic").cast("int").alias("toxic"),
-        F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"),
-        F.xxhash64("doc_id").alias("h"),
-    )
-    classes = []
+def _pieces(text: bytes) -> bytes:
+    """A text of up to ``PIECES`` windows; of a longer one as many, spread evenly over it."""
+    if len(text) <= PIECES * PIECE:
+        return text
+    return b"\n".join(text[at : at + PIECE] for at in ((len(text) - PIECE) * k // (PIECES - 1) for k in range(PIECES)))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic, half) of the rows learned from: ids are chosen from the labels, then their texts fetched."""
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    ids = None
     for value, most in ((1, sample), (0, 2 * sample)):
-        mine = rows.filter(F.col("toxic") == value)
-        # The last hash of the sample first, so that only its texts come to the driver.
-        last = mine.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        chosen = mine.filter(F.col("h") <= last).orderBy("h", "text").limit(most).collect() if last is not None else []
-        classes.append([r.text.encode() for r in chosen])
-    toxic, ordinary = classes
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        width = 6 + len(SAVED)
+        mine = marks.filter(F.col("toxic") == value).orderBy("h", "doc_id").limit(most)
+        ids = mine if ids is None else ids.union(mine)
+    ids = stored(ids, "toxicity-ids")  # at most 3 * sample rows
+    # Of rows that share an id one is learned from.
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    return stored(texts.select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half")), "toxicity-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """From documents and labels (doc_id, toxic). The curve sees every text of the bounded sample
+    through dictionaries trained on the other half of it; the final dictionaries use both halves."""
+    rows = sampled(docs, labels, sample)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = pa.array([_pieces(t.as_py().encode()) for t in batch.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([blobs, batch.column(1), batch.column(2)], ["blob", "toxic", "half"])
+
+    blobs = rows.mapInArrow(cut, "blob binary, toxic int, half int").toArrow().sort_by([("toxic", "ascending"), ("half", "ascending"), ("blob", "ascending")])
+    of = lambda toxic, half: [b for b, t, h in zip(*(blobs[c].to_pylist() for c in ("blob", "toxic", "half")), strict=True) if t == toxic and h == half]
+    parts = {(t, h): of(t, h) for t in (0, 1) for h in (0, 1)}
+    n_toxic, n_ordinary = (len(parts[t, 0]) + len(parts[t, 1]) for t in (1, 0))
+    width = 6 + len(SAVED)
+    if not n_toxic or not n_ordinary:
+        share = n_toxic / max(1, n_toxic + n_ordinary)
         return Model((b"", b""), np.zeros(width), np.ones(width), np.concatenate([[_odds(share)], np.zeros(width)]))
-    folds = [(toxic[i::2], ordinary[i::2]) for i in (0, 1)]
-    xs, ys = [], []
-    for learn, judge in (folds, folds[::-1]):
-        compressors = [_compressor(c) for c in train_dictionaries(*learn)]
-        xs += [features(t, *compressors) for t in judge if t]
-        ys += [np.full(len(t), y) for t, y in zip(judge, (1.0, 0.0), strict=True)]
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    contents = train_dictionaries(toxic, ordinary)
+    other = {h: train_dictionaries(parts[1, 1 - h], parts[0, 1 - h]) for h in (0, 1)}
+    contents = train_dictionaries(parts[1, 0] + parts[1, 1], parts[0, 0] + parts[0, 1])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = {h: [_compressor(c) for c in other[h]] for h in other}
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(0).to_pylist()]
+            table = [features([t], *compressors[h])[0].tolist() for t, h in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(table, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    told = rows.mapInArrow(measure, "toxic int, x array<double>").orderBy("toxic", "x").toArrow()
+    x, y = np.array(told["x"].to_pylist()), told["toxic"].to_numpy().astype(float)
     center, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0
     w = _logistic(np.c_[np.ones(len(x)), (x - center) / scale], y)
@@ -227,11 +272,3 @@ def score(
 
     scored = rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of rows that may be learned from."""
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return (
-        docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(marks.filter(~held_out(F.col("doc_id"))), "doc_id")
-    )
