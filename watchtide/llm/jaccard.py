@@ -15,8 +15,11 @@ similarity 0.75 share no bucket with probability 0.25 ** 24, about 4e-15, less t
 collision of hashes, so no link is lost in practice. Each bucket has a tree of its own.
 
 Large groups of copies cost their size, not its square: first every point is compared with
-its bucket's smallest id only, and verified links become components. Then only buckets that
-hold several components are searched, and only for pairs between different components. The
+its buckets' smallest ids, those it meets in ``LIKELY`` buckets or more, and verified links become components. Then only buckets that
+hold several components are searched, and only for pairs between different components. Such
+a pair meets in ``SHARED`` buckets or more (less often with probability 9e-12 at 0.75), so every point
+leaves out its ``SHARED`` - 1 largest ones: in one order of all buckets, two sets with so many in
+common still have one (prefix filter). That leaves the buckets of frequent passages nearly empty. The
 components are those of all links. A bucket above ``SPLIT`` points is cut into one for each
 other key of its points; one still above is dealt in blocks of points, every two blocks
 together, so that no task gets many more than twice ``SPLIT``. Nothing is capped and no list of pairs within a group is made.
@@ -36,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from watchtide.llm.common import components, stored
 from watchtide.llm.shingles import mixed, runs, shingle_sets
@@ -46,6 +50,8 @@ GROUPS = 128
 #: Finer groups of a set up to this size; twice as many for each doubling.
 FINE = 512
 KEYS = 24
+#: Buckets two linked points share at least, and those that make a first comparison worth while.
+SHARED, LIKELY = 3, 6
 SPLIT = 20000
 LEAF = 32
 BITMAPS = 256
@@ -54,7 +60,7 @@ BITMAPS = 256
 def _points(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, keys, counts per row.
 
-    ``counts``: a byte for the width of a number, then the counts of the fine groups.
+    ``counts``: those of the fine groups (see ``_packed``).
     """
     salts = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -75,8 +81,7 @@ def _points(docs: DataFrame, width: int) -> DataFrame:
                     keys.append(low.view(np.int64))
                     bits = max(FINE, len(shingles) - 1).bit_length() - (len(shingles) <= FINE)
                     point = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                    small = 1 if point.max() < 256 else 2 if point.max() < 65536 else 4
-                    counts.append(bytes([small]) + point.astype(f"<u{small}").tobytes())
+                    counts.append(_packed(point))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
@@ -109,8 +114,22 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"node {kind}, shingles array<long>")
 
 
+def _packed(point: np.ndarray) -> bytes:
+    """A byte for the width of a number, then the numbers; two of them share a byte if all are below 16."""
+    most = point.max()
+    if most < 16:
+        return b"\0" + (point[::2] | point[1::2] << 4).astype(np.uint8).tobytes()
+    width = 1 if most < 256 else 2 if most < 65536 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
 def _fine(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+    if raw[0]:
+        return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+    pairs = np.frombuffer(raw, dtype=np.uint8, offset=1)
+    out = np.empty(2 * len(pairs), dtype=np.uint8)
+    out[::2], out[1::2] = pairs & 15, pairs >> 4
+    return out
 
 
 def _vector(raw: bytes) -> np.ndarray:
@@ -232,15 +251,13 @@ def _blocks(a: np.ndarray, b: np.ndarray, size: int = 32768) -> Iterator[tuple[n
 def _search(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of different components that a bucket's tree cannot rule out.
 
-    ``buckets``: key, node, component, counts, turn (which of a point's keys, -1 if a second
-    one), keys; a task gets whole keys, sorted by key.
+    ``buckets``: key, node, component, counts; a task gets whole keys, sorted by key. A pair may
+    be told by several buckets.
     """
 
     def pairs_of(table: pa.Table) -> Iterator[tuple[list, list]]:
         keys = table["key"].to_numpy()
         nodes, groups = table["node"].to_numpy(), table["component"].to_numpy()
-        turns = table["turn"].to_numpy()
-        names = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), KEYS)
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             if end - start < 2:
@@ -253,10 +270,6 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
                 i, j = start + i, start + j
                 ok = groups[i] != groups[j]
                 i, j = i[ok], j[ok]
-                # A pair that meets in several buckets is told in the first one only.
-                first = (names[i] == names[j]).argmax(axis=1)
-                ok = (turns[i] < 0) | (first == turns[i])
-                i, j = i[ok], j[ok]
                 ok = fine.possible(i - start, fine, j - start, percent)
                 i, j = i[ok], j[ok]
                 if len(i):
@@ -287,7 +300,7 @@ def _search(buckets: DataFrame, percent: int) -> DataFrame:
             yield from flush(None)
 
     kind = buckets.schema["node"].dataType.simpleString()
-    return buckets.select("key", "node", "component", "counts", "turn", "keys").mapInArrow(run, f"a {kind}, b {kind}")
+    return buckets.select("key", "node", "component", "counts").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _maybe(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -323,14 +336,14 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, most: int) -> DataFrame:
-    """(node, component, counts, turn, key, keys): rows of buckets that are too large, in smaller ones.
+    """(node, component, counts, key): rows of buckets that are too large, in smaller ones.
 
     ``rows``: node, component, counts, turn, key, keys. The key a bucket is named by does not
     divide it, so it is no second key. Two blocks of a bucket above ``most`` meet in a bucket.
     """
     others = F.filter("keys", lambda k, i: i != F.col("turn"))
     second = rows.select(
-        "node", "component", "counts", "keys", F.explode(F.transform(others, lambda k: F.xxhash64("key", k))).alias("key")
+        "node", "component", "counts", F.explode(F.transform(others, lambda k: F.xxhash64("key", k))).alias("key")
     )
     second = stored(second, "jaccard-split")
     second = second.join(_several(second), "key").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
@@ -338,7 +351,7 @@ def _split(rows: DataFrame, most: int) -> DataFrame:
     second = second.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     return second.select(
-        "node", "component", "counts", F.lit(-1).alias("turn"), F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key"), "keys"
+        "node", "component", "counts", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")).alias("key")
     )
 
 
@@ -362,7 +375,8 @@ def near_duplicates(
     )
     rows = nodes.select("node", F.posexplode("keys").alias("turn", "key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = rows.join(hubs.select("key", "hub"), "key").filter("node <> hub").select("hub", "node").distinct()
+    met = rows.join(hubs.select("key", "hub"), "key").filter("node <> hub").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("n"))
+    first = met.filter(F.col("n") >= LIKELY)
     # The bound on single pairs, by group counts.
     first = _bounded(first.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, percent)
     first = stored(_verified(stored(first, "jaccard-first"), docs, width, percent), "jaccard-links")
@@ -372,13 +386,16 @@ def near_duplicates(
         "jaccard-labels",
     )
     rows = rows.join(label, "node")
-    mixed_buckets = stored(_several(rows), "jaccard-buckets")
-    columns = ("node", "component", "counts", "turn", "key", "keys")
+    largest = Window.partitionBy("node").orderBy(F.desc("n"), "key")
+    kept = rows.join(stored(_several(rows), "jaccard-buckets"), "key").withColumn("rank", F.row_number().over(largest))
+    kept = stored(kept.filter(F.col("rank") >= SHARED).select("node", "turn", "key", "component"), "jaccard-kept")
+    mixed_buckets = stored(_several(kept), "jaccard-mixed")
+    columns = ("node", "component", "counts", "key")
     small = mixed_buckets.filter(F.col("n") <= SPLIT)
-    open_rows = rows.join(small, "key").join(nodes, "node").select(*columns)
+    open_rows = kept.join(small.select("key"), "key").join(nodes, "node").select(*columns)
     large = mixed_buckets.filter(F.col("n") > SPLIT)
     if not large.isEmpty():
-        open_rows = open_rows.union(_split(rows.join(large.select("key"), "key").join(nodes, "node").select(*columns), SPLIT))
+        open_rows = open_rows.union(_split(kept.join(large.select("key"), "key").join(nodes, "node").select(*columns, "turn", "keys"), SPLIT))
     candidates = _search(open_rows.repartition("key").sortWithinPartitions("key"), percent).distinct()
     second = stored(_verified(stored(candidates, "jaccard-second"), docs, width, percent), "jaccard-links")
     final = components(first.union(second), "jaccard-components")

@@ -11,7 +11,7 @@ import xxhash
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are taken in runs of about so many bytes.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
