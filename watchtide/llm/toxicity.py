@@ -50,6 +50,8 @@ LEAST_CONTEXTS = 4
 TIMES_ORDINARY = 100
 #: Of the windows the toxic dictionary is trained on: bytes to either side of a telling word, and windows of one word.
 AROUND, OF_A_WORD = 1, 64
+#: They are trained on in runs of so many, in so many orders.
+RUN, ORDERS = 8, 8
 SAVED = (1, 2, 4, 6)
 
 
@@ -99,7 +101,11 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
             seen[word] = seen.get(word, 0) + 1
             if seen[word] <= OF_A_WORD:
                 near.append(t[max(0, m.start() - AROUND) : m.end() + AROUND])
-    return _trained(near, TOXIC_BYTES, 32, 6) + plain, plain
+    # In runs of several, in ever other orders, so that segments hold whole words of many kinds.
+    rng = np.random.default_rng(5)
+    orders = [rng.permutation(len(near)) for _ in range(ORDERS)]
+    samples = [b"".join(near[i] for i in order[a : a + RUN]) for order in orders for a in range(0, len(near), RUN)]
+    return _trained(samples, TOXIC_BYTES, 32, 6) + plain, plain
 
 
 def _trained(windows: list[bytes], size: int, k: int = 32, d: int = 8) -> bytes:
