@@ -388,10 +388,11 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(vocabulary)
-        for batch in batches:
-            texts, sizes = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            made = [matrix(vocabulary, words, t, s).tobytes() for t, s in zip(texts, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["text_sha256", "k", "m"])
+        for whole in batches:
+            for first, texts in runs(whole.column(3), RUN_BYTES):
+                batch = whole.slice(first, len(texts))
+                made = [matrix(vocabulary, words, t, s).tobytes() for t, s in zip(texts.to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["text_sha256", "k", "m"])
 
     def states(frame: pd.DataFrame) -> pd.DataFrame:
         """The scan: weights at every boundary forwards, the best states backwards."""
@@ -422,12 +423,13 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(vocabulary)
-        for batch in batches:
-            rows_ = zip(*(batch.column(c).to_pylist() for c in (3, 2, 4, 5)), strict=True)
-            ids = [trace(vocabulary, words, *row) for row in rows_]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["text_sha256", "k", "ids"]
-            )
+        for whole in batches:
+            # Whole batches of chunks are hundreds of megabytes.
+            for first, texts in runs(whole.column(3), RUN_BYTES):
+                batch = whole.slice(first, len(texts))
+                rows_ = zip(*(batch.column(c).to_pylist() for c in (3, 2, 4, 5)), strict=True)
+                ids = pa.array([np.array(trace(vocabulary, words, *row), np.int32) for row in rows_], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["text_sha256", "k", "ids"])
 
     joined = (
         placed.mapInArrow(traced, "text_sha256 string, k int, ids array<int>")
@@ -447,11 +449,15 @@ def decode(rows: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for ids in batch.column(len(keep)):
+            texts, start, size = [], 0, 0
+            for k, ids in enumerate(batch.column(len(keep)), 1):
                 raw = b"".join([table[i] for i in ids.values.to_numpy()]) if ids.is_valid else b""
                 texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
+                size += len(raw)
+                if size > RUN_BYTES or k == batch.num_rows:
+                    kept = [c.slice(start, k - start) for c in batch.columns[: len(keep)]]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*keep, "text"])
+                    texts, start, size = [], k, 0
 
     rows = rows.select(*keep, F.col(ids_col))
     form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
