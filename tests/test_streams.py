@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from watchtide.plans import streams as plans
 from watchtide.sources import sinks
 from watchtide.streaming import keyed, streams
 
@@ -122,3 +123,26 @@ def test_retention_drops_folders_and_does_not_read_them(spark, tmp_path):
     assert not list((tmp_path / "kept").glob("event_date=2024-01-0[123]/batch=*"))
     # Of the cutoff's day the batch without a row inside is gone: hours 22 and 23 are two batches.
     assert len(list((tmp_path / "kept").glob("event_date=2024-01-04/batch=*"))) == 2
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_steps_come_in_equal_numbers_of_files_one_step_per_trigger(spark, monkeypatch, later):
+    monkeypatch.setattr(plans, "FILE_ROWS", 50)
+    day = dt.datetime(2024, 1, 1)
+    # Most rows lie in a quarter of an hour: steps are cut by rows.
+    rows = [(k, day + dt.timedelta(seconds=k if k < 900 else k * 60)) for k in range(1000)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp")
+    again = table.filter("event_id % 10 = 0").withColumn("event_id", F.col("event_id") + 1000)
+    seen = []
+
+    def keep(batch, number):
+        found = batch.select("event_id", F.input_file_name().alias("file")).collect()
+        seen.append(([r.event_id for r in found], Counter(r.file for r in found)))
+
+    streams.each_batch(plans._dealt(table, "dealt", later=again if later else None), "dealt-test", keep)
+    assert len(seen) == plans.STEPS + 1 and seen[-1][0] == [-1]
+    assert len({len(files) for _, files in seen[:-1]}) == 1 and max(max(f.values()) for _, f in seen) < 100
+    steps = [sorted(i for i in ids if i < 1000) for ids, _ in seen[:-1]]
+    assert sum(steps, []) == list(range(1000))
+    copies = [sorted(i - 1000 for i in ids if i >= 1000) for ids, _ in seen[:-1]]
+    assert copies == ([[], *[[i for i in s if i % 10 == 0] for s in steps[:-1]]] if later else [[]] * plans.STEPS)

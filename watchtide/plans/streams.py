@@ -1,6 +1,6 @@
 """Streaming twins of the batch queries, over files that arrive one after the other.
 
-A table is dealt by time into ``FILES`` files, read one per trigger; the last file has one
+A table is dealt by time into ``STEPS`` steps, one per trigger; the last file has one
 row far in the future, which moves the watermark past all others.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchtide.plans import logs
@@ -21,32 +21,45 @@ from watchtide.streaming import streams
 
 DELAY = "1 hour"
 DELAY_SECONDS = 3600
-FILES = 4
+STEPS = 4
+#: Rows of a file, about: a step of more rows comes in as many files.
+FILE_ROWS = 50_000
 END = dt.datetime(2100, 1, 1)
 
 
 def _dealt(table: DataFrame, name: str, later: DataFrame | None = None, closed: bool = True) -> DataFrame:
-    """``table`` as a stream of files in the order of ``ts``. Rows of ``later`` come a file after
-    the rows of their time."""
+    """``table`` as a stream of files in the order of ``ts``. Rows of ``later`` come a step after
+    the rows of their time.
+
+    A trigger takes a number of files, so all steps have the same number of them. No file is
+    empty: a task that deals as many rows as there are files reaches them all, and there is one
+    unless a step was read in more than ``FILE_ROWS`` tasks.
+    """
     spark = table.sparkSession
     path = shared_dir(spark, name)
-    least, most = table.agg(F.min("ts"), F.max("ts")).first()
-    if least is not None:
-        step = (most - least) / FILES
-        cuts = [least + k * step for k in range(1, FILES)]
-
-        def part(rows: DataFrame, k: int) -> DataFrame:
-            rows = rows if k == 0 else rows.filter(F.col("ts") >= F.lit(cuts[k - 1]))
-            return rows if k == FILES - 1 else rows.filter(F.col("ts") < F.lit(cuts[k]))
-
-        for k in range(FILES):
-            rows = part(table, k)
-            if later is not None and k:
-                rows = rows.unionByName(part(later, k - 1))
-            rows.coalesce(1).write.mode("append").parquet(path)
-    if closed or least is None:
+    files = 1
+    quarters = [k / STEPS for k in range(1, STEPS)]
+    cuts = table.agg(F.percentile_approx("ts", quarters)).first()[0]
+    if cuts is not None:
+        cuts = [F.lit(c).cast(table.schema["ts"].dataType) for c in cuts]
+
+        def inside(k: int) -> Column:
+            least = F.col("ts").isNotNull() if k == 0 else F.col("ts") >= cuts[k - 1]
+            return least if k == STEPS - 1 else least & (F.col("ts") < cuts[k])
+
+        steps = [table.filter(inside(k)) for k in range(STEPS)]
+        sizes = list(table.agg(*[F.count_if(inside(k)) for k in range(STEPS)]).first())
+        if later is not None:
+            steps[1:] = [now.unionByName(later.filter(inside(k))) for k, now in enumerate(steps[1:])]
+            more = later.agg(*[F.count_if(inside(k)) for k in range(STEPS - 1)]).first()
+            sizes[1:] = [a + b for a, b in zip(sizes[1:], more, strict=True)]
+        files = max(1, min(n for n in sizes if n) // FILE_ROWS)
+        for rows, size in zip(steps, sizes, strict=True):
+            if size:
+                rows.repartition(files).write.mode("append").parquet(path)
+    if closed or cuts is None:
         _closing(table).write.mode("append").parquet(path)
-    return streams.file_stream(spark, path, table.schema, maxFilesPerTrigger=1)
+    return streams.file_stream(spark, path, table.schema, maxFilesPerTrigger=files)
 
 
 def _closing(table: DataFrame) -> DataFrame:
