@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from watchtide.operators import correlate as rules
 from watchtide.plans import streams as plans
 from watchtide.sources import sinks
 from watchtide.streaming import keyed, streams
@@ -146,3 +147,44 @@ def test_steps_come_in_equal_numbers_of_files_one_step_per_trigger(spark, monkey
     assert sum(steps, []) == list(range(1000))
     copies = [sorted(i - 1000 for i in ids if i >= 1000) for ids, _ in seen[:-1]]
     assert copies == ([[], *[[i for i in s if i % 10 == 0] for s in steps[:-1]]] if later else [[]] * plans.STEPS)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_correlation_by_batches_equals_the_batch_operator(spark, tmp_path, monkeypatch, seed):
+    rng, delay = random.Random(seed), 60
+    day, rows, late, batches = dt.datetime(2024, 1, 1), [], [], [[] for _ in range(4)]
+    kinds = ["login_failed"] * 3 + ["login_success", "data_export", "admin_add", "page_view"]
+    for k in range(400):
+        at = rng.randrange(4 * 3600)
+        row = (k, k % 2, rng.choice(kinds), f"s{k % 3}", f"u{k % 5}", day + dt.timedelta(seconds=at))
+        number = at // 3600
+        if number < 3 and at % 3600 >= 3600 - delay // 2:
+            number += k % 2  # a little late: the watermark has not passed it
+        elif number < 2 and k % 9 == 0:  # too late
+            batches[number + 2].append(row)
+            late.append(row)
+            continue
+        rows.append(row)
+        batches[number].append(row)
+    for number in range(4):  # the hour's last second, so that the watermark is known
+        row = (1000 + number, 0, "page_view", "s0", "u0", day + dt.timedelta(seconds=3600 * (number + 1) - 1))
+        rows.append(row)
+        batches[number].append(row)
+    end = (2000, -1, "end", "end", "end", dt.datetime(2100, 1, 1))
+    form = "id long, org long, event_type string, source string, user_name string, ts timestamp"
+
+    def each(stream, name, write):
+        for number, part in enumerate([*batches, [end]]):
+            for _ in range(2):  # every batch is repeated
+                write(spark.createDataFrame(part, form), number)
+
+    monkeypatch.setattr(streams, "each_batch", each)
+    streams.correlate_batches(None, str(tmp_path), delay)
+    columns = ["org", "rule_id", "entity_id", "trigger_id", "window_events", "matched_events", "first_seen", "last_seen"]
+    whole = rules.correlate(spark.createDataFrame(rows, form).withColumn("us", F.unix_micros("ts")))
+    wanted = sorted(map(tuple, whole.select(columns).collect()))
+    found = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/incidents").select(columns).collect()))
+    assert late and len(wanted) > 20 and found == wanted
+    # The state is what later signals can see, not the history.
+    assert sorted(p.name for p in (tmp_path / "signals").iterdir()) == ["batch=3", "batch=4"]
+    assert spark.read.parquet(f"{tmp_path}/signals/batch=4").count() < len(rows) // 4

@@ -129,7 +129,11 @@ def _(t):
 
 @query("stream_correlate", f"WITH {SIG}, {CORR} {CORR_ALL}")
 def _(t):
-    return streams.drain(streams.correlate_stream(_sig(t), scale=SCALE, delay=DELAY), "correlate").filter("org >= 0")
+    path = shared_dir(t.spark, "correlated")
+    streams.correlate_batches(_sig(t), path, DELAY_SECONDS, scale=SCALE)
+    return t.spark.read.parquet(f"{path}/incidents").select(
+        "org", "rule_id", "severity", "entity_id", "trigger_id", "window_events", "matched_events", "first_seen", "last_seen"
+    )
 
 
 @query("stream_cooldown", ORACLES["alert_cooldown"])

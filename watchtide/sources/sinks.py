@@ -157,6 +157,12 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that may not be there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store_batch(df: DataFrame, path: str, batch: int, ts: str = "ts") -> None:
     """Store a batch of events, one folder per day and batch; a repeated batch replaces its folders."""
     dated = df.withColumns({"event_date": F.to_date(ts), "batch": F.lit(batch).cast("long")})

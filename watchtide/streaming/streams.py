@@ -304,6 +304,57 @@ def correlate_stream(
     )
 
 
+def correlate_batches(
+    signals: DataFrame,
+    path: str,
+    delay: int,
+    rule_set: Sequence[rules.Rule] = rules.RULES,
+    scale: int = 1,
+    org: str = "org",
+    ts: str = "ts",
+    order: str = "id",
+    name: str = "correlate",
+) -> None:
+    """Incidents of all rules to ``path/incidents``, by the batch operator in every micro-batch.
+
+    For many entities or hot ones: ``correlate_stream`` calls Python for every entity of a
+    micro-batch and works on an entity in one task. State is a table of the signals that later ones
+    can still see; ``path/signals`` has a folder per micro-batch, which a repeated batch replaces.
+    The watermark is the newest time seen less ``delay`` seconds. Signals at or before it are closed;
+    those that come after it has passed them are dropped.
+    """
+    # An incident asks for the window of the signal before, whose window is another span back.
+    seen = 2 * max(rule.span(scale) for rule in rule_set)
+    entities = {rule.entity for rule in rule_set}
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(org, order, F.unix_micros(ts).alias("us"), "event_type", *sorted(entities)).filter("us is not null")
+        before = None
+        if number:
+            known = spark.read.schema(rows.schema).parquet(f"{path}/signals/batch={number - 1}")
+            before = _mark(known, delay)
+            if before is not None:
+                rows = known.filter(F.col("us") > before - seen).unionByName(rows.filter(F.col("us") > before))
+        sinks.replace(rows, f"{path}/signals/batch={number}")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/signals/batch={number}")
+        mark = _mark(rows, delay)
+        # What has not happened yet changes nothing before it.
+        found = rules.correlate(rows.filter(F.col("us") <= F.lit(mark).cast("long")), rule_set, scale, org, order=order)
+        if before is not None:
+            found = found.filter(F.col("last_seen") > before)
+        sinks.replace(found, f"{path}/incidents/batch={number}")
+        # A batch comes again at most until the next one begins.
+        sinks.remove(spark, f"{path}/signals/batch={number - 2}")
+
+    each_batch(signals, name, write)
+
+
+def _mark(signals: DataFrame, delay: int) -> int | None:
+    newest = signals.agg(F.max("us")).first()[0]
+    return None if newest is None else newest - delay * MICROS
+
+
 def ingest_stream(
     lines: DataFrame, path: str, now: Column, year: Column, order: str = "id", column: str = "line", name: str = "ingest"
 ) -> None:
