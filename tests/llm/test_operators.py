@@ -343,6 +343,17 @@ def test_pieces_do_not_depend_on_chunks_and_decode_exactly(spark):
         assert {r.doc_id: r.text for r in pieces.decode(coded).collect()} == {i: t or "" for i, t in texts}
 
 
+def test_decoding_is_expressions_and_joins_bytes_before_they_are_text(spark):
+    vocabulary = pieces.Vocabulary()
+    byte, of = vocabulary.byte_ids, vocabulary.pieces
+    ids = [None, [], list(byte.values()), [byte[0xE2], byte[0x82], byte[0xAC]], [of[" the"][0], byte[0xF0], byte[0x9F], of[" a"][0]], [0, 1, 2]]
+    got = pieces.decode(spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>"))
+    # A second Python worker in every task took more than an executor has.
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    wanted = {k: b"".join(vocabulary.bytes_of[i] for i in x or []).removeprefix(b" ").decode("utf-8", "replace") for k, x in enumerate(ids)}
+    assert {r.doc_id: r.text for r in got.collect()} == wanted
+
+
 def test_matrices_combine_associatively():
     vocabulary = pieces.Vocabulary()
     words = pieces.Words(vocabulary)
