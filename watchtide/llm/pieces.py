@@ -447,10 +447,12 @@ def decode(rows: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
     """The kept columns and ``text`` for ``ids``; null ids give an empty text.
 
     Expressions only, so that a task that encodes and decodes has one Python worker. Byte pieces are
-    no text on their own: pieces are joined as hexadecimal digits. An id the model lacks is an error.
+    no text on their own: a character stands for a byte until all pieces are joined. An id the
+    model lacks is an error.
     """
-    table = F.split(F.lit(",".join(b.hex() for b in Vocabulary(model).bytes_of)), ",")
-    digits = F.array_join(F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.element_at(table, i + 1)), "")
-    blank = F.when(F.startswith(F.col("_digits"), F.lit("20")), 3).otherwise(1)
-    raw = F.unhex(F.substring(F.col("_digits"), blank, F.length("_digits")))
-    return rows.select(*keep, digits.alias("_digits")).select(*keep, F.make_valid_utf8(raw.cast("string")).alias("text"))
+    mark = chr(256)  # no byte
+    table = F.split(F.lit(mark.join(b.decode("latin-1") for b in Vocabulary(model).bytes_of)), mark)
+    joined = F.array_join(F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: table[i]), "")
+    first = F.when(F.startswith(F.col("_bytes"), F.lit(" ")), 2).otherwise(1)
+    raw = F.encode(F.substring(F.col("_bytes"), first, F.length("_bytes")), "ISO-8859-1")
+    return rows.select(*keep, joined.alias("_bytes")).select(*keep, F.make_valid_utf8(raw.cast("string")).alias("text"))
