@@ -188,3 +188,28 @@ def test_correlation_by_batches_equals_the_batch_operator(spark, tmp_path, monke
     # The state is what later signals can see, not the history.
     assert sorted(p.name for p in (tmp_path / "signals").iterdir()) == ["batch=3", "batch=4"]
     assert spark.read.parquet(f"{tmp_path}/signals/batch=4").count() < len(rows) // 4
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_a_very_common_time_is_shared_out_over_steps_and_files(spark, monkeypatch, later):
+    monkeypatch.setattr(plans, "FILE_ROWS", 50)
+    day = dt.datetime(2024, 1, 1)
+    # Nine tenths of the rows have the same time.
+    rows = [(k, day + dt.timedelta(seconds=k if k < 100 or k >= 1900 else 1000)) for k in range(2000)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp")
+    again = table.filter("event_id % 10 = 0").withColumn("event_id", F.col("event_id") + 2000)
+    seen = []
+
+    def keep(batch, number):
+        found = batch.select("event_id", "ts", F.input_file_name().alias("file")).collect()
+        seen.append(([r.event_id for r in found], [r.ts for r in found if r.event_id < 2000], Counter(r.file for r in found)))
+
+    streams.each_batch(plans._dealt(table, "common", later=again if later else None), "common-test", keep)
+    steps = seen[:-1]
+    assert max(max(f.values()) for *_, f in steps) < 100 and len({len(files) for *_, files in steps}) == 1
+    assert len(steps) == plans.STEPS and seen[-1][0] == [-1]
+    assert sorted(i for ids, *_ in steps for i in ids if i < 2000) == list(range(2000))
+    assert all(max(a) <= min(b) for (_, a, _), (_, b, _) in zip(steps, steps[1:], strict=False))
+    copies = [i for ids, *_ in steps for i in ids if i >= 2000]
+    assert len(copies) == len(set(copies)) and bool(copies) == later
+    assert not any(i >= 2000 for i in steps[0][0])

@@ -24,6 +24,8 @@ DELAY_SECONDS = 3600
 STEPS = 4
 #: Rows of a file, about: a step of more rows comes in as many files.
 FILE_ROWS = 50_000
+#: Parts in which a time of more rows than a file's is cut.
+SHARES = 1_000_000
 END = dt.datetime(2100, 1, 1)
 
 
@@ -38,14 +40,13 @@ def _dealt(table: DataFrame, name: str, later: DataFrame | None = None, closed:
     spark = table.sparkSession
     path = shared_dir(spark, name)
     files = 1
-    quarters = [k / STEPS for k in range(1, STEPS)]
-    cuts = table.agg(F.percentile_approx("ts", quarters)).first()[0]
-    if cuts is not None:
-        cuts = [F.lit(c).cast(table.schema["ts"].dataType) for c in cuts]
+    cuts = _cuts(table)
+    if cuts:
 
         def inside(k: int) -> Column:
-            least = F.col("ts").isNotNull() if k == 0 else F.col("ts") >= cuts[k - 1]
-            return least if k == STEPS - 1 else least & (F.col("ts") < cuts[k])
+            if k == 0:
+                return cuts[0]
+            return ~cuts[k - 1] if k == STEPS - 1 else ~cuts[k - 1] & cuts[k]
 
         steps = [table.filter(inside(k)) for k in range(STEPS)]
         sizes = list(table.agg(*[F.count_if(inside(k)) for k in range(STEPS)]).first())
@@ -57,11 +58,35 @@ def _dealt(table: DataFrame, name: str, later: DataFrame | None = None, closed:
         for rows, size in zip(steps, sizes, strict=True):
             if size:
                 rows.repartition(files).write.mode("append").parquet(path)
-    if closed or cuts is None:
+    if closed or not cuts:
         _closing(table).write.mode("append").parquet(path)
     return streams.file_stream(spark, path, table.schema, maxFilesPerTrigger=files)
 
 
+def _cuts(table: DataFrame) -> list[Column]:
+    """For every cut between two steps of about as many rows, which rows come before it.
+
+    Rows of one time share a step unless they fill more than a file: then a hash of the row puts
+    them before or behind the cut, or a very common time would leave the other steps few rows
+    and so, as all have the same number of files, its own step few files.
+    """
+    quarters = [k / STEPS for k in range(1, STEPS)]
+    times = table.agg(F.percentile_approx("ts", quarters)).first()[0]
+    if times is None:
+        return []
+    ts, cuts = F.col("ts"), []
+    times = [F.lit(c).cast(table.schema["ts"].dataType) for c in times]
+    counts = [F.count("ts"), *[F.count_if(ts < c) for c in times], *[F.count_if(ts == c) for c in times]]
+    rows, *counts = table.agg(*counts).first()
+    for quarter, time, below, at in zip(quarters, times, counts[: STEPS - 1], counts[STEPS - 1 :], strict=True):
+        cut = ts < time
+        if at > FILE_ROWS:
+            share = round((quarter * rows - below) / at * SHARES)
+            cut = cut | ((ts == time) & (F.pmod(F.xxhash64(*table.columns), F.lit(SHARES)) < share))
+        cuts.append(cut)
+    return cuts
+
+
 def _closing(table: DataFrame) -> DataFrame:
     """A row at the end of time that belongs to nobody: -1 or "end" in every column."""
     nobody = [
